@@ -150,14 +150,19 @@ def listed(items: DataFrame, depth: int, repetitions: int) -> DataFrame:
     return items.select("node", "fp0", "fp1", "label").mapInArrow(run, "list bigint, node bigint, fp0 bigint, fp1 bigint, label bigint")
 
 
-def blocked(members: DataFrame, between: bool) -> DataFrame:
-    """Adds ``pair``, a block or pair of blocks of a list, and ``side``; lists of one member, or of one label, go.
+def long_lists(members: DataFrame) -> DataFrame:
+    """(list, blocks, several) of the lists of more than ``BLOCK`` members, written: blocks of about that many, and whether labels differ."""
+    sizes = members.groupBy("list").agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high")).filter(F.col("n") > BLOCK)
+    return C.written(sizes.select("list", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"), (F.col("low") < F.col("high")).alias("several")), "long-lists")
 
-    Not between labels, every block of about ``BLOCK`` members is compared with itself only; which members share a block
-    differs from list to list. Between labels, a list of b blocks is compared as b * (b + 1) / 2 pairs of blocks.
+
+def blocked(members: DataFrame, long_: DataFrame, between: bool) -> DataFrame:
+    """Adds ``pair``, a block or pair of blocks of a list, and ``side``. A list that isn't in ``long_`` is one block.
+
+    Not between labels, every block is compared with itself only; which members share a block differs from list to list.
+    Between labels, a list of b blocks is compared as b * (b + 1) / 2 pairs of blocks, unless it has one label.
     """
-    sizes = members.groupBy("list").agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high")).filter("n > 1 AND low < high")
-    m = members.join(sizes.select("list", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "list")
+    m = members.join(long_, "list", "left").filter(F.coalesce("several", F.lit(True))).withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     m = m.withColumn("own", F.pmod(F.xxhash64("node", "list"), F.col("blocks")).cast("int"))
     if not between:
         return m.select("*", F.col("own").alias("pair"), F.lit(0).alias("side"))
@@ -194,13 +199,14 @@ def _hits(node: np.ndarray, fp: np.ndarray, label: np.ndarray, side: np.ndarray,
     return np.concatenate(big), np.concatenate(small), np.concatenate(far)
 
 
-def search(members: DataFrame, between: bool) -> DataFrame:
+def search(members: DataFrame, long_: DataFrame | None, between: bool) -> DataFrame:
     """Pairs (a, b), a > b: the nearest earlier neighbour of each member over all lists, or all hits between labels.
 
     Not between labels, a member that only has later neighbours comes as (a, a).
     """
     names = ["list", "pair", "node", "fp0", "fp1", "label", "side"]
-    grouped = blocked(members, between).select(*names)
+    parts = blocked(members, long_, between) if long_ is not None else members.withColumns({"pair": F.lit(0), "side": F.lit(0)})
+    grouped = parts.select(*names)
     grouped = grouped.repartition("list", "pair").sortWithinPartitions("list", "pair")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -232,7 +238,7 @@ def search(members: DataFrame, between: bool) -> DataFrame:
     hits = grouped.mapInArrow(run, "a bigint, b bigint, distance bigint")
     if between:
         return hits.select("a", "b").distinct()
-    return hits.groupBy("a").agg(F.min_by("b", F.struct("distance", "b")).alias("b"))
+    return hits.groupBy("a").agg(F.min(F.struct("distance", "b")).alias("x")).select("a", "x.b")
 
 
 def shingle_sets(docs: DataFrame, nodes: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -286,15 +292,19 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     items = texts.filter("n_shingles > 0").dropDuplicates(["node"]).withColumn("label", F.col("node"))
     n = items.count()
     depth, repetitions = effort(n)
-    near = C.written(search(listed(items, depth, repetitions), False), "nearest")
+    members = listed(items, depth, repetitions)
+    long_ = long_lists(members)
+    some_long = long_.count() > 0
+    near = C.written(search(members, long_ if some_long else None, False), "nearest")
     ends = near.select(F.col("a").alias("node")).union(near.select(F.col("b").alias("node"))).distinct()
     keys = items.select("node", "text_key").join(ends, "node")
     sets = C.written(shingle_sets(docs, keys, key, text), "sets")
     first = C.written(verified(near.filter("a > b"), sets), "links")
     labels = components(first)
-    # the lists again, by class
+    # the lists again, by class; where all lists were compared in one block, texts without a hit can be left out
     again = items.drop("label").join(labels, "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root")
-    cross = C.written(search(listed(again, depth, repetitions), True), "cross")
+    members = listed(again if some_long else again.join(ends, "node", "left_semi"), depth, repetitions)
+    cross = C.written(search(members, long_lists(members) if some_long else None, True), "cross")
     second = verified(cross, sets)
     roots = components(first.union(second))
     named = items.select("node", "text_key").join(roots, "node", "left").select("text_key", F.coalesce("root", "node").alias("class_id"))
