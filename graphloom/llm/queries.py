@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op1_tokens, op2_language, op4_chat, op5_simhash, op6_packing, op7_mixing, op8_media, op9_urls, op10_quality
+from . import op1_tokens, op2_language, op3_substrings, op4_chat, op5_simhash, op6_packing, op7_mixing, op8_media, op9_urls, op10_quality
 
-_MODULES = [op1_tokens, op2_language, op4_chat, op5_simhash, op6_packing, op7_mixing, op8_media, op9_urls, op10_quality]
+_MODULES = [op1_tokens, op2_language, op3_substrings, op4_chat, op5_simhash, op6_packing, op7_mixing, op8_media, op9_urls, op10_quality]
 
 
 def _name(module) -> str:
