@@ -4,7 +4,7 @@ Equal texts are reduced to one first. Every 50-byte string has an anchor, the 24
 strings share their anchor at the same place. Anchors that occur in one text only are left out (their hashes are compared by
 hash bucket, in numpy arrays). Each anchor left gives its context: 26 bytes before it and 50 from it on. Contexts meet in
 their anchor's bucket, whose different right contexts are sorted as suffixes of one text by the grouping construction of
-``gsaca`` (packed to 8-byte symbols). For each way a 50-byte string can lie around the anchor, runs of the suffix order
+``gsaca`` (packed to 17-byte symbols). For each way a 50-byte string can lie around the anchor, runs of the suffix order
 whose common prefix is long enough, split by what stands left, are the equal strings; all but the least document lose theirs.
 
 Scale: texts are shuffled once (to find the one that stands for its copies) and written as blocks; after that only hash
@@ -36,6 +36,8 @@ from .gsaca import suffix_array
 
 LENGTH, GRAM = 50, 24
 LEFT = LENGTH - GRAM
+#: Bytes that one symbol of the suffix order holds; a right context and its length are three.
+SYMBOL = 17
 BLOCK_BYTES = 4_000_000
 
 
@@ -58,7 +60,7 @@ def anchors(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     least[doc[:windows] != doc[LENGTH - 1 :]] = 0
     pad = np.zeros(width - 1, np.uint64)
     at = np.flatnonzero(_slide(np.concatenate([pad, least, pad]), width, np.maximum) == h)
-    return at, h[at]
+    return at, C.mix(h[at] ^ np.uint64(0xA5A5A5A55A5A5A5A))  # least hashes are small; mixed again they fill buckets evenly
 
 
 def _store(root: str, name: str, data: bytes) -> None:
@@ -226,6 +228,20 @@ def contexts(blocked: DataFrame, buckets: int, root: str) -> DataFrame:
     return blocked.mapInArrow(run, "bucket int, block bigint, " + ", ".join(f"{c} binary" for c in kinds))
 
 
+def _ordered(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct byte rows in lexicographic order, which of them each row is). Rows are first reduced by a hash, then checked."""
+    n, width = rows.shape
+    rows = np.ascontiguousarray(rows)
+    h = np.zeros(n, np.uint64)
+    for k in range(width):
+        h = h * C._MUL + rows[:, k] + np.uint64(1)
+    _, first, inverse = np.unique(h, return_index=True, return_inverse=True)
+    if not (rows[first][inverse] == rows).all():  # two rows share a hash
+        first, inverse = np.arange(n), np.arange(n)
+    kinds, again = np.unique(rows[first].view(f"V{width}")[:, 0], return_inverse=True)
+    return kinds.view(np.uint8).reshape(-1, width), again[inverse]
+
+
 def matches(ids: np.ndarray, left: np.ndarray, right: np.ndarray, near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(greatest, least) number of bytes before the anchor at which a 50-byte string repeats one of a smaller id; -1: none."""
     n = len(ids)
@@ -233,12 +249,9 @@ def matches(ids: np.ndarray, left: np.ndarray, right: np.ndarray, near: np.ndarr
     body = np.ascontiguousarray(near[:, LEFT:])
     body[np.arange(LENGTH)[None, :] >= right[:, None]] = 0
     whole = np.concatenate([body, right[:, None].astype(np.uint8)], axis=1)  # the length tells padding from zero bytes
-    kinds, inverse = np.unique(np.ascontiguousarray(whole).view(f"V{LENGTH + 1}")[:, 0], return_inverse=True)
-    text = kinds.view(np.uint8).reshape(-1, LENGTH + 1)
-    wide = -(-(LENGTH + 1) // 8)
-    packed = np.zeros((len(text), wide * 8), np.uint8)
-    packed[:, : LENGTH + 1] = text
-    _, symbol = np.unique(packed.view(">u8").astype(np.uint64), return_inverse=True)
+    text, inverse = _ordered(whole)
+    wide = (LENGTH + 1) // SYMBOL
+    _, symbol = _ordered(text.reshape(-1, SYMBOL))
     joined = np.zeros((len(text), wide + 1), np.int64)
     joined[:, :wide] = symbol.reshape(len(text), wide) + 1  # 0 ends each context
     order = suffix_array(joined.ravel())
