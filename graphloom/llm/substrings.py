@@ -308,8 +308,11 @@ def cuts(found: DataFrame, buckets: int, root: str) -> int:
     return gathered.repartition("block").sortWithinPartitions("block").mapInArrow(keep, "block bigint").count()
 
 
-def _kept(blocked: DataFrame, root: str) -> DataFrame:
-    """(doc_id, source_key, kept, n_bytes, n_removed, n_spans): ``kept`` has the bytes left, ``source_key`` the MD5 of all."""
+def _kept(blocked: DataFrame, root: str, as_text: bool) -> DataFrame:
+    """(doc_id, source_key, kept, n_bytes, n_removed, n_spans): ``kept`` has the bytes left, ``source_key`` the MD5 of all.
+
+    As text, a character that a cut splits is left out.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -330,12 +333,13 @@ def _kept(blocked: DataFrame, root: str) -> DataFrame:
                 texts = [data[a:b] for a, b in zip(off, off[1:])]
                 left = [t[~gone[a:b]].tobytes() if total[b] > total[a] else t.tobytes() for t, a, b in zip(texts, off, off[1:])]
                 keys = [hashlib.md5(t.tobytes()).digest() for t in texts]
-                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(keys, pa.binary()), pa.array(left, pa.binary()), pa.array(np.diff(off)), pa.array(total[off[1:]] - total[off[:-1]]), pa.array((runs[off[1:]] - runs[off[:-1]]).astype(np.int64))], names=["doc_id", "source_key", "kept", "n_bytes", "n_removed", "n_spans"])
+                made = pa.array([x.decode("utf-8", "ignore") for x in left], pa.string()) if as_text else pa.array(left, pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(keys, pa.binary()), made, pa.array(np.diff(off)), pa.array(total[off[1:]] - total[off[:-1]]), pa.array((runs[off[1:]] - runs[off[:-1]]).astype(np.int64))], names=["doc_id", "source_key", "kept", "n_bytes", "n_removed", "n_spans"])
 
-    return blocked.mapInArrow(run, "doc_id bigint, source_key binary, kept binary, n_bytes bigint, n_removed bigint, n_spans bigint")
+    return blocked.mapInArrow(run, f"doc_id bigint, source_key binary, kept {'string' if as_text else 'binary'}, n_bytes bigint, n_removed bigint, n_spans bigint")
 
 
-def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
+def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", as_text: bool = False) -> tuple[DataFrame, DataFrame]:
     """(stand, others). ``stand``: (doc_id, source_key, kept, n_bytes, n_removed, n_spans) of each text's least id.
     ``others``: (doc_id, source_key, text, times) of the rest: the rows of larger or null ids, and how often the row is there
     (a row of ``stand`` that is there more often has the rest of its times here, marked ``again``)."""
@@ -353,4 +357,4 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[Dat
     repeated(blocked, buckets, root)
     cuts(contexts(blocked, buckets, root), buckets, root)
     others = marked.withColumn("again", F.coalesce(F.col("doc_id") == F.col("least"), F.lit(False))).filter("NOT again OR times > 1")
-    return _kept(blocked, root), others.select("doc_id", "source_key", "least", "again", "times")
+    return _kept(blocked, root, as_text), others.select("doc_id", "source_key", "least", "again", "times")
