@@ -119,7 +119,7 @@ def blocks(unique: DataFrame) -> DataFrame:
         if ids:
             yield made()
 
-    return C.written(unique.select("doc_id", "text").mapInArrow(run, "block bigint, ids binary, off binary, data binary"), "blocks")
+    return C.written(unique.select("doc_id", "text").mapInArrow(run, "block bigint, ids binary, off binary, data binary"), "blocks", "zstd")
 
 
 def _opened(batch: pa.RecordBatch, k: int) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
