@@ -5,6 +5,184 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from graphloom.operators import kernels as K
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+MARKERS = ["licensed under", "all rights reserved", "copyright", "permission is hereby granted", "general public license", "apache license", "mit license", "spdx-license"]
+
+
+def _query(name: str, sql: str | None = None):
+    def add(f: Callable) -> Callable:
+        QUERIES[name] = lambda spark, sf_dir: f(lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet"))
+        if sql:
+            ORACLES[name] = sql
+        return f
+
+    return add
+
+
+@_query("q01_dedupe_by_rank", """SELECT doc_id, n_chars FROM (SELECT *, row_number() OVER (PARTITION BY lower(trim(text)) ORDER BY n_chars DESC, doc_id DESC) AS n FROM documents) WHERE n = 1""")
+def _(t):
+    d = t("documents").withColumn("k", F.md5(F.lower(F.trim("text")).cast("binary")))
+    return K.dedupe_by_rank(d, ["k"], [F.desc("n_chars"), F.desc("doc_id")]).select("doc_id", "n_chars")
+
+
+@_query("q03_licence_markers", "SELECT doc_id FROM documents WHERE " + " OR ".join(f"contains(lower(text), '{m}')" for m in MARKERS))
+def _(t):
+    return t("documents").filter(K.contains_any(F.col("text"), MARKERS)).select("doc_id")
+
+
+@_query("q05_fans", """WITH e AS (SELECT DISTINCT l_suppkey AS src, l_partkey + 1000000 AS dst FROM lineitem), i AS (SELECT dst AS node, count(*) AS fan_in FROM e GROUP BY 1), o AS (SELECT src AS node, count(*) AS fan_out FROM e GROUP BY 1)
+SELECT node, coalesce(fan_in, 0)::BIGINT AS fan_in, coalesce(fan_out, 0)::BIGINT AS fan_out FROM i FULL JOIN o USING (node)""")
+def _(t):
+    return K.fans(K.distinct_edges(t("lineitem").withColumn("p", F.col("l_partkey") + 1000000), "l_suppkey", "p"))
+
+
+@_query("q06_weighted_score", """WITH s AS (SELECT l_suppkey AS node, count(DISTINCT l_partkey) AS fan_out, count(*) AS loc, max(l_linenumber) AS branches FROM lineitem GROUP BY 1),
+m AS (SELECT min(fan_out) AS a, max(fan_out) AS b, min(loc) AS c, max(loc) AS d, min(branches) AS e, max(branches) AS f FROM s)
+SELECT node, fan_out, round(0.0 + 0.45 * coalesce((branches - e)::DOUBLE / nullif(f - e, 0), 0.0) + 0.25 * coalesce((loc - c)::DOUBLE / nullif(d - c, 0), 0.0) + 0.3 * coalesce((fan_out - a)::DOUBLE / nullif(b - a, 0), 0.0), 6) AS score FROM s, m""")
+def _(t):
+    s = t("lineitem").groupBy(F.col("l_suppkey").alias("node")).agg(F.countDistinct("l_partkey").alias("fan_out"), F.count("*").alias("loc"), F.max("l_linenumber").alias("branches"))
+    return K.weighted_score(s, {"branches": 0.45, "loc": 0.25, "fan_out": 0.3}).select("node", "fan_out", F.round("score", 6).alias("score"))
+
+
+@_query("q07_budgeted_prefix", """SELECT o_custkey, o_orderkey FROM (SELECT *, sum(CAST(round(o_totalprice * 100) AS BIGINT)) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS r FROM orders) WHERE r <= 50000000""")
+def _(t):
+    d = t("orders").withColumn("cents", F.round(F.col("o_totalprice") * 100).cast("long"))
+    return K.budgeted_prefix(d, ["o_custkey"], [F.col("o_orderkey")], "cents", 50000000).select("o_custkey", "o_orderkey")
+
+
+@_query("q08_kth_cutoff", """WITH r AS (SELECT *, row_number() OVER (ORDER BY p_retailprice) AS n, count(*) OVER () AS c FROM part), k AS (SELECT p_retailprice AS cutoff FROM r WHERE n = greatest(c // 3, 1))
+SELECT p_partkey, cutoff FROM part, k WHERE p_retailprice <= cutoff""")
+def _(t):
+    return t("part").join(F.broadcast(K.kth_smallest(t("part"), "p_retailprice")), F.col("p_retailprice") <= F.col("cutoff")).select("p_partkey", "cutoff")
+
+
+@_query("q09_top_with_skip", """WITH r AS (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_partkey) AS place FROM part), f AS (SELECT p_brand, min(place) AS f FROM r WHERE place > 2 AND p_size > 25 GROUP BY 1)
+SELECT p_brand, p_partkey, place::INT AS place FROM r LEFT JOIN f USING (p_brand) WHERE place <= 2 OR place = f""")
+def _(t):
+    return K.top_with_skip(t("part"), ["p_brand"], [F.desc("p_retailprice"), F.col("p_partkey")], 2, F.col("p_size") > 25).select("p_brand", "p_partkey", "place")
+
+
+_DAY = "l_shipdate >= TIMESTAMP '1996-03-01' AND l_shipdate < TIMESTAMP '1996-03-08'"
+
+
+@_query("q10_bounded_reach", f"""WITH RECURSIVE g AS (SELECT DISTINCT l_suppkey AS a, l_partkey + 1000000 AS b FROM lineitem WHERE {_DAY}), e AS (SELECT a AS src, b AS dst FROM g UNION SELECT b, a FROM g),
+r(source, node, hops) AS (SELECT DISTINCT src, src, 0 FROM e WHERE src <= 5 UNION SELECT source, dst, hops + 1 FROM r JOIN e ON node = src WHERE hops < 4)
+SELECT source, node, min(hops)::INT AS hops FROM r GROUP BY 1, 2""")
+def _(t):
+    g = t("lineitem").filter(_DAY.replace("TIMESTAMP", "TIMESTAMP_NTZ")).select(F.col("l_suppkey").alias("src"), (F.col("l_partkey") + 1000000).alias("dst")).distinct()
+    e = g.union(g.select("dst", "src")).distinct()
+    return K.bounded_reach(e, e.filter("src <= 5").select(F.col("src").alias("node")).distinct(), 4)
+
+
+_ISLANDS = """WITH f AS (SELECT *, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) > 3600000000 THEN 1 ELSE 0 END AS new FROM events),
+i AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id)::BIGINT AS island FROM f)"""
+
+
+def _islanded(t):
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    return K.islands(t("events").withColumn("us", at), ["user_id"], F.col("us"), [F.col("ts"), F.col("event_id")], 3_600_000_000)
+
+
+@_query("q12_islands", _ISLANDS + " SELECT user_id, island, count(*) AS n, count(DISTINCT event_type) AS kinds FROM i GROUP BY 1, 2 HAVING count(*) >= 2")
+def _(t):
+    return _islanded(t).groupBy("user_id", "island").agg(F.count("*").alias("n"), F.countDistinct("event_type").alias("kinds")).filter("n >= 2")
+
+
+@_query("q13_interval_join", _ISLANDS + """, s AS (SELECT user_id, min(epoch_us(ts)) - 600000000 AS b, max(epoch_us(ts)) + 600000000 AS e FROM i GROUP BY user_id, island)
+SELECT event_id, min(b) AS b FROM events JOIN s USING (user_id) WHERE epoch_us(ts) BETWEEN b AND e GROUP BY 1""")
+def _(t):
+    d = _islanded(t)
+    s = d.groupBy("user_id", "island").agg((F.min("us") - 600_000_000).alias("b"), (F.max("us") + 600_000_000).alias("e"))
+    return K.first_interval(d.select("event_id", "user_id", "us"), s, ["user_id"], "us", "b", "e").select("event_id", "b")
+
+
+_PATH = "regexp_extract(url, '^[^:]*://([^?#]*)', 1)"
+
+
+@_query("q14_longest_prefix", f"""WITH p AS (SELECT page_id, {_PATH} AS path FROM pages), x AS (SELECT DISTINCT string_split(path, '/')[1] AS prefix FROM p UNION SELECT DISTINCT string_split(path, '/')[1] || '/' || string_split(path, '/')[2] FROM p WHERE path LIKE '%/en/%')
+SELECT page_id, max_by(prefix, length(prefix)) AS prefix FROM p JOIN x ON path = prefix OR starts_with(path, prefix || '/') GROUP BY 1""")
+def _(t):
+    p = t("pages").select("page_id", F.regexp_extract("url", r"^[^:]*://([^?#]*)", 1).alias("path"))
+    one = p.select(F.substring_index("path", "/", 1).alias("prefix"))
+    two = p.filter(F.col("path").contains("/en/")).select(F.substring_index("path", "/", 2).alias("prefix"))
+    return K.longest_prefix(p, "path", one.union(two)).select("page_id", "prefix")
+
+
+@_query("q15_shortest_unique_suffix", f"""WITH v AS (SELECT DISTINCT {_PATH} AS path FROM pages), s AS (SELECT path, n, array_to_string(list_slice(string_split(path, '/'), len(string_split(path, '/')) - n + 1, len(string_split(path, '/'))), '/') AS suffix FROM (SELECT path, unnest(range(1, len(string_split(path, '/')) + 1)) AS n FROM v)),
+a AS (SELECT suffix, n, max(path) AS path FROM s GROUP BY 1, 2 HAVING count(*) = 1), b AS (SELECT path, min_by(suffix, n) AS suffix FROM a GROUP BY 1)
+SELECT path, coalesce(suffix, path) AS suffix FROM v LEFT JOIN b USING (path)""")
+def _(t):
+    return K.shortest_unique_suffix(t("pages").select(F.regexp_extract("url", r"^[^:]*://([^?#]*)", 1).alias("path")), "path")
+
+
+@_query("q16_greedy_cover")
+def _(t):
+    d = t("lineitem")
+    return d.sparkSession.createDataFrame(K.greedy_cover(d, "l_suppkey", "l_partkey", 4), "l_suppkey bigint, gain bigint")
+
+
+@_query("q17_subset", """SELECT DISTINCT l_suppkey FROM lineitem WHERE l_suppkey NOT IN (SELECT l_suppkey FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_brand NOT IN (SELECT p_brand FROM part WHERE p_size <= 45))""")
+def _(t):
+    d = t("lineitem").join(t("part").select(F.col("p_partkey").alias("l_partkey"), "p_brand"), "l_partkey")
+    return K.subset_of(d, "l_suppkey", "p_brand", t("part").filter("p_size <= 45"))
+
+
+@_query("q18_tally_top", """WITH w AS (SELECT word, count(*) AS n FROM (SELECT unnest(string_split(p_name, ' ')) AS word FROM part) GROUP BY 1), r AS (SELECT *, row_number() OVER (ORDER BY n DESC, word) AS k FROM w)
+SELECT CASE WHEN k <= 3 THEN word ELSE 'more' END AS word, sum(n)::BIGINT AS n FROM r GROUP BY 1""")
+def _(t):
+    w = t("part").select(F.explode(F.split("p_name", " ")).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    top = w.orderBy(F.desc("n"), "word").limit(3).select("word", F.lit(True).alias("top"))
+    return w.join(F.broadcast(top), "word", "left").groupBy(F.when(F.col("top"), F.col("word")).otherwise("more").alias("word")).agg(F.sum("n").alias("n"))
+
+
+_REASON = "CASE WHEN length(trim(text)) = 0 THEN 'empty' WHEN length(text) > 900 THEN 'too long' WHEN length(text) < 60 THEN 'too short' WHEN lower(text) LIKE '%loop%' THEN 'invented a loop' WHEN lower(text) LIKE '% if %' THEN 'invented a branch' ELSE 'kept' END"
+
+
+@_query("q19_reasons", f"SELECT {_REASON} AS reason, count(*) AS n FROM conversations WHERE role = 'assistant' GROUP BY 1")
+def _(t):
+    return t("conversations").filter("role = 'assistant'").groupBy(F.expr(_REASON).alias("reason")).agg(F.count("*").alias("n"))
+
+
+@_query("q20_semi_anti", "SELECT c_custkey, c_custkey IN (SELECT o_custkey FROM orders) AS has_orders FROM customer")
+def _(t):
+    c, o = t("customer"), t("orders").select(F.col("o_custkey").alias("c_custkey"))
+    return c.join(o, "c_custkey", "left_semi").select("c_custkey", F.lit(True).alias("has_orders")).union(c.join(o, "c_custkey", "left_anti").select("c_custkey", F.lit(False).alias("has_orders")))
+
+
+@_query("q21_profile", "SELECT lang, count(*) AS n, median(n_chars) AS mid, round(100.0 * sum(CASE WHEN n_chars > 2000 THEN 1 ELSE 0 END) / count(*), 6)::DOUBLE AS long_percent FROM documents GROUP BY 1")
+def _(t):
+    return t("documents").groupBy("lang").agg(F.count("*").alias("n"), F.median("n_chars").alias("mid"), F.round(F.sum(F.when(F.col("n_chars") > 2000, 1).otherwise(0)) * 100.0 / F.count("*"), 6).cast("double").alias("long_percent"))
+
+
+@_query("q22_priority_union", """WITH u AS (SELECT n_name AS name, 0 AS tier FROM nation UNION ALL SELECT r_name, 1 FROM region UNION ALL SELECT s_name, 2 FROM supplier) SELECT name, min(tier)::INT AS tier FROM u GROUP BY 1 ORDER BY tier, name LIMIT 10""")
+def _(t):
+    tiers = [t("nation").select(F.col("n_name").alias("name"), F.lit(0).alias("tier")), t("region").select("r_name", F.lit(1)), t("supplier").select("s_name", F.lit(2))]
+    return tiers[0].union(tiers[1]).union(tiers[2]).groupBy("name").agg(F.min("tier").alias("tier")).orderBy("tier", "name").limit(10)
+
+
+@_query("q23_cascade", """SELECT d.doc_id, CASE WHEN l.quality IS NOT NULL THEN 'label' WHEN b.item_id IS NOT NULL THEN 'benchmark' ELSE 'none' END AS found, coalesce(l.quality::BIGINT, b.item_id) AS value FROM documents d LEFT JOIN labels l USING (doc_id) LEFT JOIN benchmark b ON b.item_id = d.doc_id""")
+def _(t):
+    d = t("documents").select("doc_id").join(t("labels").select("doc_id", "quality"), "doc_id", "left").join(t("benchmark").select(F.col("item_id").alias("doc_id"), "item_id"), "doc_id", "left")
+    return d.select("doc_id", F.when(F.col("quality").isNotNull(), "label").when(F.col("item_id").isNotNull(), "benchmark").otherwise("none").alias("found"), F.coalesce(F.col("quality").cast("long"), "item_id").alias("value"))
+
+
+@_query("q24_content_key", "SELECT doc_id, substr(sha256('m:' || doc_id || ':' || text), 1, 24) AS key FROM documents")
+def _(t):
+    return t("documents").select("doc_id", F.substring(F.sha2(F.concat(F.lit("m:"), F.col("doc_id").cast("string"), F.lit(":"), F.col("text")), 256), 1, 24).alias("key"))
+
+
+@_query("q26_last_two", "SELECT page_id, array_to_string(list_slice(string_split(regexp_extract(url, '^[^:]*://([^/?#]*)', 1), '.'), -2, -1), '.') AS tail FROM pages")
+def _(t):
+    return t("pages").select("page_id", F.substring_index(F.regexp_extract("url", r"^[^:]*://([^/?#]*)", 1), ".", -2).alias("tail"))
+
+
+@_query("q27_word_overlap", "SELECT p_partkey, round(len(list_intersect(list_distinct(string_split(lower(p_name), ' ')), list_distinct(string_split(lower(p_type), ' '))))::DOUBLE / len(list_distinct(string_split(lower(p_name), ' '))), 6) AS ratio FROM part")
+def _(t):
+    a, b = F.array_distinct(F.split(F.lower("p_name"), " ")), F.array_distinct(F.split(F.lower("p_type"), " "))
+    return t("part").select("p_partkey", F.round(F.size(F.array_intersect(a, b)) / F.size(a), 6).alias("ratio"))
