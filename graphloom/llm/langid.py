@@ -121,7 +121,7 @@ class Model:
         ones = [_One(texts[x], order) for x in self.languages]
         n_lang = len(ones)
         self.keys, self.logp, self.context_keys, self.logw = [None], [None], [None], [None]
-        for n in range(1, order + 1):
+        for n in range(1, order + 1) if ones else ():
             keys, first = np.unique(np.concatenate([o.keys[n] for o in ones]), return_index=True)
             context, suffix = (np.concatenate([getattr(o, a)[n] for o in ones])[first] for a in ("context", "suffix"))
             contexts = np.unique(np.concatenate([o.weight_keys[n] for o in ones]))
