@@ -12,7 +12,7 @@ found are sent through the same lists again, and every hit between different cla
 lies within a class already. Classes are the connected components.
 
 Scale: lists are split into blocks of ``BLOCK`` fingerprints, and pairs of blocks are compared in tasks of their own, so no
-list is ever held by one task. Verification joins pairs to shingle sets of only those texts that have a hit.
+list is ever held by one task. Verification joins pairs to shingle sets of only those texts that have a hit in either pass.
 
 Defined results: null, empty and blank texts and texts of fewer than five words: the whole words are one shingle; texts
 without words have none and are alike only if equal; null texts are alike to nothing. An empty table gives an empty one; other columns are ignored. Memory: a slice of whole texts of
@@ -174,7 +174,7 @@ def blocked(members: DataFrame, long_: DataFrame, between: bool) -> DataFrame:
 def _hits(node: np.ndarray, fp: np.ndarray, label: np.ndarray, side: np.ndarray, between: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Pairs (greater node, less node, distance) of one group of at most two blocks."""
     order = np.argsort(node, kind="stable")
-    node, fp, label, side = node[order], fp[order], label[order], side[order]
+    node, fp, label, side = node[order], fp[order].view(np.uint64), label[order], side[order]  # bitwise_count takes signed numbers by absolute value
     two = side.any() and not side.all()
     big, small, far = [], [], []
     for i in range(0, len(node), 512):
@@ -305,6 +305,9 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     again = items.drop("label").join(labels, "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root")
     members = listed(again if some_long else again.join(ends, "node", "left_semi"), depth, repetitions)
     cross = C.written(search(members, long_lists(members) if some_long else None, True), "cross")
+    if some_long:  # pairs of blocks may join texts that met none in their own blocks
+        late = cross.select(F.col("a").alias("node")).union(cross.select(F.col("b").alias("node"))).distinct().join(ends, "node", "left_anti")
+        sets = sets.union(C.written(shingle_sets(docs, items.select("node", "text_key").join(late, "node"), key, text), "late-sets"))
     second = verified(cross, sets)
     roots = components(first.union(second))
     named = items.select("node", "text_key").join(roots, "node", "left").select("text_key", F.coalesce("root", "node").alias("class_id"))

@@ -123,6 +123,47 @@ def test_simhash(spark, odd, none):
     assert simhash.pass_rate(0.0) > 0.5 > simhash.pass_rate(0.3)
 
 
+def brute_classes(rows, least=0.8):
+    """Least id of each row's class, by the exact Jaccard similarity of five-word shingles of all pairs; not for null texts."""
+    grams = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set() for w in ((t or "").split() for _, t, _, _ in rows)]
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in range(len(rows)):
+        for b in range(a):
+            both = len(grams[a] & grams[b])
+            if rows[a][1] == rows[b][1] or both and both >= least * (len(grams[a]) + len(grams[b]) - both):
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    least_id = {}
+    for k, r in enumerate(rows):
+        least_id[find(k)] = min(r[0], least_id.get(find(k), r[0]))
+    return [least_id[find(k)] for k in range(len(rows))]
+
+
+def pairs_of_near_copies(seed, n):
+    rng = random.Random(seed)
+    words = ["".join(rng.choice("abcdefg") for _ in range(6)) for _ in range(2000)]
+    rows = []
+    for k in range(n):
+        w = [rng.choice(words) for _ in range(200)]
+        rows.append((2 * k, " ".join(w), "en", "a"))
+        w[100] = "changed"
+        rows.append((2 * k + 1, " ".join(w), "en", "a"))
+    return rows
+
+
+def test_simhash_links_across_blocks(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "BLOCK", 1)
+    rows = pairs_of_near_copies(6, 60)
+    got = {r["doc_id"]: r["class_id"] for r in simhash.classes(make(spark, rows)).collect()}
+    assert got == dict(zip([r[0] for r in rows], brute_classes(rows)))
+
+
 def test_components(spark):
     rng = random.Random(4)
     edges = [(rng.randint(0, 120), rng.randint(0, 120)) for _ in range(90)] + [(5, 5), (500, 500), (None, 1)]
