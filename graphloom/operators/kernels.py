@@ -119,6 +119,31 @@ def bounded_reach(edges: DataFrame, sources: DataFrame, depth: int) -> DataFrame
     return seen
 
 
+def reach_all(edges: DataFrame, depth: int, parts: int = 16) -> DataFrame:
+    """(source, node, hops): like ``bounded_reach`` from every node of ``edges`` (src, dst), 64 sources a row and round.
+
+    A row is a node and a block of 64 sources: one mask a hop, of the sources that first meet the node there. Each round is one
+    join and one ``bit_or``; a loop at every node carries the masks so far, so a round is used only once.
+    """
+    nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).filter("node IS NOT NULL").distinct()
+    d = nodes.withColumn("_part", F.pmod(F.xxhash64("node"), F.lit(parts)))
+    d = d.withColumn("_at", F.row_number().over(Window.partitionBy("_part").orderBy("node")) - 1)
+    d = d.select("node", (F.floor(F.col("_at") / 64) * parts + F.col("_part")).alias("block"), (F.col("_at") % 64).cast("int").alias("bit"))
+    sources = d.groupBy("block").agg(F.collect_list(F.struct("bit", F.col("node").alias("source"))).alias("sources"))
+    hops = edges.select("src", "dst", F.lit(False).alias("loop")).filter("src IS NOT NULL AND dst IS NOT NULL AND src != dst").distinct()
+    hops = hops.union(nodes.select("node", F.col("node").alias("dst"), F.lit(True)))
+    now = d.select("node", "block", F.expr("shiftleft(1L, bit)").alias("m0"))
+    for hop in range(1, depth + 1):
+        masks = [f"m{k}" for k in range(hop)]
+        j = now.join(hops, (F.col("node") == F.col("src")) & (F.col("loop") | (F.col(masks[-1]) != 0)))
+        j = j.select(F.col("dst").alias("node"), "block", *[F.when(F.col("loop"), F.col(m)).otherwise(F.lit(0).cast("long")).alias(m) for m in masks], F.when(F.col("loop"), F.lit(0).cast("long")).otherwise(F.col(masks[-1])).alias("step"))
+        now = j.groupBy("node", "block").agg(*[F.bit_or(m).alias(m) for m in masks], F.bit_or("step").alias("step"))
+        now = now.select("node", "block", *masks, F.expr(f"step & ~({' | '.join(masks)})").alias(f"m{hop}"))
+    each = now.join(sources, "block").select("node", *[f"m{k}" for k in range(depth + 1)], F.inline("sources"))
+    met = F.expr("CASE " + " ".join(f"WHEN shiftright(m{k}, bit) & 1 = 1 THEN {k}" for k in range(depth + 1)) + " END")
+    return each.select("source", "node", met.alias("hops")).filter("hops IS NOT NULL")
+
+
 def subset_of(df: DataFrame, key: str, item: str, other: DataFrame) -> DataFrame:
     """Keys all of whose items are in ``other`` (item)."""
     out = df.select(key, item).distinct().join(other.select(item).distinct(), item, "left_anti").select(key).distinct()

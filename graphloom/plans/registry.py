@@ -80,6 +80,13 @@ def _(t):
     return K.bounded_reach(e, e.filter("src <= 5").select(F.col("src").alias("node")).distinct(), 4)
 
 
+# The reference's own depth, from every node, over all edges; SQL over the whole table is too slow, so tests hold it against brute force.
+@_query("q10_bounded_reach_whole")
+def _(t):
+    g = t("lineitem").select(F.col("l_suppkey").alias("src"), (F.col("l_partkey") + 1000000).alias("dst")).distinct()
+    return K.reach_all(g.union(g.select("dst", "src")), 6)
+
+
 _ISLANDS = """WITH f AS (SELECT *, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) > 3600000000 THEN 1 ELSE 0 END AS new FROM events),
 i AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id)::BIGINT AS island FROM f)"""
 
