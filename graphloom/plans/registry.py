@@ -101,6 +101,11 @@ def _(t):
     return _islanded(t).groupBy("user_id", "island").agg(F.count("*").alias("n"), F.countDistinct("event_type").alias("kinds")).filter("n >= 2")
 
 
+@_query("q12_distinct_islands", _ISLANDS + " SELECT user_id, island, count(*) AS n, count(DISTINCT event_type) AS kinds FROM i GROUP BY 1, 2 HAVING count(DISTINCT event_type) >= 3")
+def _(t):
+    return _islanded(t).groupBy("user_id", "island").agg(F.count("*").alias("n"), F.countDistinct("event_type").alias("kinds")).filter("kinds >= 3")
+
+
 @_query("q13_interval_join", _ISLANDS + """, s AS (SELECT user_id, min(epoch_us(ts)) - 600000000 AS b, max(epoch_us(ts)) + 600000000 AS e FROM i GROUP BY user_id, island)
 SELECT event_id, min(b) AS b FROM events JOIN s USING (user_id) WHERE epoch_us(ts) BETWEEN b AND e GROUP BY 1""")
 def _(t):
