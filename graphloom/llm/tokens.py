@@ -5,7 +5,9 @@ words in turn. A word that is all letters is one split and goes straight to the
 a split of their own; other words go through the library whole. The byte-level kind gives a word the space before
 it: texts whose white space isn't plain (only single spaces and up to two line ends) are cut by the full rule, and those with
 white space outside ASCII, where that rule needs more context, are encoded whole. The other kind drops white space and is
-split on ASCII white space alone, which its own split never crosses. Agreement with the library is covered by tests.
+split on ASCII white space alone, which its own split never crosses. The library cuts a text at its added tokens (such as an
+end mark written out) before all else, so a text that holds one is encoded whole. Agreement with the library, as it is when it
+is loaded from the file, is covered by tests.
 """
 
 from __future__ import annotations
@@ -60,9 +62,12 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self._lib = Tokenizer.from_file(path)
-        self._lib.encode_special_tokens = True
         with open(path, encoding="utf-8") as f:
-            self.spaced = json.load(f)["pre_tokenizer"]["type"] == "ByteLevel"
+            told = json.load(f)
+        self.spaced = told["pre_tokenizer"]["type"] == "ByteLevel"
+        # in any case of letters, since words are lower-cased before the library sees them
+        added = sorted({t["content"] for t in told["added_tokens"]})
+        self._added = re.compile("|".join(map(re.escape, added)).encode(), re.IGNORECASE) if added else None
         self.width = 2 if self._lib.get_vocab_size() <= 65536 else 4
         self.dtype = np.dtype(f"<u{self.width}")
         self._code = "H" if self.width == 2 else "I"
@@ -75,6 +80,8 @@ class Encoder:
 
     def _pieces(self, raw: bytes) -> list | None:
         """Keys of the words of a text; null if it must be encoded whole."""
+        if self._added and self._added.search(raw):
+            return None
         if not self.spaced:
             return raw.lower().split()
         text = raw.decode()
