@@ -9,8 +9,11 @@ Rejection is calibrated on a quarter of the sample, which isn't trained on: a te
 that language's calibrated mean by ``SLACK`` nats and a width that shrinks as one over the root of its length. ``score`` is a
 logistic of the two best languages' difference, at a temperature fitted on the same quarter.
 
-Bounds: the sample has about ``SAMPLE_DOCS`` texts a language, of which at most ``SAMPLE_CHARS`` characters are used, whole
-texts only; at most ``MAX_LANGUAGES``. The model is small (tens of MB at most) whatever the corpus, and is sent to the workers.
+Bounds: the sample has about ``SAMPLE_DOCS`` texts a language, of which those that fit ``SAMPLE_CHARS`` characters are used, whole
+texts only (if none fits, the shortest text of the language); more than ``MAX_LANGUAGES`` languages are an error. Lengths are
+looked at first, so only the texts used come to the driver. The model is sent to the workers; it doesn't grow with the corpus
+but with the languages: 4 bytes an n-gram that any language knows and language, 4 MB for the four languages at hand and about
+1 GB for 60 of them.
 
 Defined results: null text, or no letters, gives ``und``, score 0 and rejected; null languages aren't learned; ties go to the
 language that sorts first; without any labelled text all is ``und``; repeated rows are judged alike; an empty table gives an
@@ -30,35 +33,41 @@ from pyspark.sql import functions as F
 from . import common as C
 
 ORDER = 4
-SAMPLE_DOCS, SAMPLE_CHARS, MAX_LANGUAGES = 300, 400_000, 500
+SAMPLE_DOCS, SAMPLE_CHARS, MAX_LANGUAGES = 300, 400_000, 200
 SLACK, REJECT_RATE = 1.0, 0.001
-_TABLE = 0x20000
+#: Code points above hold no letters (planes 4 and up: marks of variation, private use, unassigned), which a test checks.
+_TABLE = 0x40000
 _tables: list = []
 
 
 def _letters() -> tuple[np.ndarray, np.ndarray]:
-    """(symbol, letter) by code point: lower case for letters and marks, 32 for all else. Beyond U+1FFFF all are letters."""
+    """(symbol, letter) by code point: symbols are lower case for letters and marks, 32 for all else; only L* are letters.
+
+    The last entry stands for all code points from ``_TABLE`` on.
+    """
     if not _tables:
-        symbol = np.full(_TABLE, 32, np.uint32)
+        symbol, letter = np.full(_TABLE + 1, 32, np.uint32), np.zeros(_TABLE + 1, bool)
         for c in range(_TABLE):
             kind = unicodedata.category(chr(c))
             if kind[0] in "LM":
                 low = chr(c).lower()
                 symbol[c] = ord(low) if len(low) == 1 else c
+                letter[c] = kind[0] == "L"
         _tables.append(symbol)
-        _tables.append(symbol != 32)
+        _tables.append(letter)
     return _tables[0], _tables[1]
 
 
 def symbols(texts: list[str], order: int = ORDER) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(symbols, document of each, letters per document): every text is led by order - 1 marks (0), which count as spaces."""
-    table, _ = _letters()
+    table, letter = _letters()
     lengths = np.fromiter((len(t) for t in texts), np.int64, len(texts))
     code = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
-    sym = np.where(code < _TABLE, table[np.minimum(code, _TABLE - 1)], code)
+    code = np.minimum(code, _TABLE)
+    sym = table[code]
     doc = np.repeat(np.arange(len(texts)), lengths)
     starts = np.cumsum(lengths) - lengths
-    letters = np.bincount(doc, weights=sym != 32, minlength=len(texts)).astype(np.int64)
+    letters = np.bincount(doc, weights=letter[code], minlength=len(texts)).astype(np.int64)
     at = np.repeat(starts, order - 1)
     sym = np.insert(sym, at, 0)
     doc = np.insert(doc, at, np.repeat(np.arange(len(texts)), order - 1))
@@ -208,14 +217,22 @@ def train(docs: DataFrame, usable: Column, key: str = "doc_id", text: str = "tex
         return Model({})
     draw = F.pmod(F.xxhash64("key", F.lit(17)), F.lit(1_000_003)) / 1_000_003
     share = F.coalesce(*[F.when(F.col("lang") == x, min(1.0, sample_docs / n)) for x, n in counts.items()])
-    rows = sorted((r["lang"], r["o"], r["text"]) for r in d.withColumn("o", F.xxhash64("key", F.lit(3))).filter(draw < share).select("lang", "o", "text").toLocalIterator())
+    # which texts fit is decided on their lengths; only those come to the driver
+    drawn = d.withColumns({"o": F.xxhash64("key", F.lit(3)), "size": F.length("text")}).filter(draw < share)
+    used: dict[str, int] = {}
+    wanted = []
+    for x, o, size in sorted(tuple(r) for r in drawn.select("lang", "o", "size").collect()):
+        if used.get(x, 0) + size <= sample_chars:
+            used[x] = used.get(x, 0) + size
+            wanted.append((x, o, size))
+    short = [x for x in counts if x not in used]  # no drawn text is short enough: the shortest of all stands in
+    rows = drawn.join(F.broadcast(docs.sparkSession.createDataFrame(wanted, "lang string, o bigint, size int")), ["lang", "o", "size"], "left_semi").select("lang", "o", "text")
+    if short:
+        least = d.filter(F.col("lang").isin(short)).groupBy("lang").agg(F.min_by("text", F.struct(F.length("text"), F.xxhash64("key", F.lit(3)))).alias("text"))
+        rows = rows.union(least.select("lang", F.lit(0).cast("long"), "text"))
     fit: dict[str, list[str]] = {}
     held: dict[str, list[str]] = {}
-    used: dict[str, int] = {}
-    for i, (x, _, t) in enumerate(rows):
-        if x in fit and used[x] + len(t) > sample_chars:
-            continue
-        used[x] = used.get(x, 0) + len(t)
+    for i, (x, _, t) in enumerate(sorted(tuple(r) for r in rows.collect())):
         (held if i % 4 == 3 and x in fit else fit).setdefault(x, []).append(t)
     model = Model({x: t for x, t in fit.items()})
     model.calibrate(held)
@@ -223,9 +240,9 @@ def train(docs: DataFrame, usable: Column, key: str = "doc_id", text: str = "tex
 
 
 def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """Adds lang_pred, score and rejected; columns of these names are replaced, all others pass through unread."""
+    """Adds lang_pred, score and rejected; columns of these names, in any case, are replaced, all others pass through unread."""
     new = ["lang_pred", "score", "rejected"]
-    carried = [c for c in docs.columns if c not in new]
+    carried = [c for c in docs.columns if c.lower() not in new]
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carried), "lang_pred string", "score double", "rejected boolean"])
 
