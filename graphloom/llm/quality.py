@@ -90,14 +90,14 @@ def measure(buf: np.ndarray, off: np.ndarray, lengths: list[int]) -> dict[str, n
 def judge(docs: DataFrame, text: str = "text", limits: dict[int, int] | None = None, line_limit: int = LINE_LIMIT) -> DataFrame:
     """Adds the counts, ``base_failed`` and ``kept`` to each row of ``docs``.
 
-    Of a column that already has one of the new names, the new values are kept.
+    Of a column that already has one of the new names, in any case, the new values are kept.
     """
     limits = NGRAM_LIMITS if limits is None else limits
     lengths = sorted(limits)
     if min(lengths, default=BASE_WINDOW) < BASE_WINDOW:
         raise ValueError(f"windows have at least {BASE_WINDOW} words")
     names = [*COUNTS, *(f"dup_{n}_chars" for n in lengths)]
-    carried = [c for c in docs.columns if c not in {*names, "base_failed", "kept"}]
+    carried = [c for c in docs.columns if c.lower() not in {*names, "base_failed", "kept"}]
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*[f"`{c}`" for c in carried]).schema), *(f"{n} bigint" for n in names), "base_failed boolean", "kept boolean"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
