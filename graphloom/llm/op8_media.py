@@ -57,4 +57,5 @@ def features(stored: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return features(store(C.table(spark, sf_dir, "documents")))
+    """Writes the pictures to the shared folder and computes the features from what is read back."""
+    return features(C.written(store(C.table(spark, sf_dir, "documents")), "media", "none"))
