@@ -3,15 +3,17 @@
 Equal texts are reduced to one first. Every 50-byte string has an anchor, the 24-byte string of least hash within it, so equal
 strings share their anchor at the same place. Anchors that occur in one text only are left out (their hashes are compared by
 hash bucket, in numpy arrays). Each anchor left gives its context: 26 bytes before it and 50 from it on. Contexts meet in
-their anchor's bucket, whose different right contexts are sorted as suffixes of one text by the grouping construction of
-``gsaca`` (packed to 17-byte symbols). For each way a 50-byte string can lie around the anchor, runs of the suffix order
-whose common prefix is long enough, split by what stands left, are the equal strings; all but the least document lose theirs.
+their anchor's bucket. There the different right contexts are laid out, in no order, as one text of 64-bit symbols (seven bytes
+and their number), and so are the left contexts, read backwards; the grouping construction of ``gsaca`` gives the suffix order
+of each. A 50-byte string that begins j bytes before its anchor is a run of the left order with common prefixes of j bytes and a
+run of the right order with 50 - j: equal pairs of runs are equal strings, byte for byte, and all but the least document's go.
 
 Scale: texts are shuffled once (to find the one that stands for its copies) and written as blocks; after that only hash
 arrays, contexts of repeated anchors and cuts move. What a block needs back (which anchors repeat, what to cut) is
-written as a file a block in the shared folder, under another name and renamed, equal on every attempt. Buckets are of equal
-expected size; a string that many documents share is one context a document in its bucket, and copies of right contexts
-are sorted once.
+written as a file a block in the shared folder, under another name and renamed, equal on every attempt. Contexts that several
+documents of a block share are cut within the block and sent once. An anchor in ``HOT_BLOCKS`` blocks or more isn't
+gathered: each of its 50-byte strings is sent to a bucket by its own hash. Buckets are of equal expected size and grow in number
+with the blocks, to 65,536.
 
 Defined results: null text is empty; rows with a null id keep all and cut nothing; rows that repeat an id don't cut each
 other; of rows with equal texts the least id stands, the others lose all if they have 50 bytes; equal rows (id and text) are
@@ -36,9 +38,11 @@ from .gsaca import suffix_array
 
 LENGTH, GRAM = 50, 24
 LEFT = LENGTH - GRAM
-#: Bytes that one symbol of the suffix order holds; a right context and its length are three.
-SYMBOL = 17
+#: Bytes that one symbol of the suffix order holds, beside their number.
+SYMBOL = 7
 BLOCK_BYTES = 4_000_000
+#: Blocks from which on an anchor counts as hot, and the most buckets.
+HOT_BLOCKS, MOST_BUCKETS = 256, 1 << 16
 
 
 def _slide(a: np.ndarray, width: int, best) -> np.ndarray:
@@ -149,11 +153,13 @@ def _distinct(h: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def repeated(blocked: DataFrame, buckets: int, root: str) -> int:
-    """Writes, a file a block, a bit for each of its distinct anchor hashes in order: does it occur in several texts?
+    """Writes, a file a block, a byte for each of its distinct anchor hashes in order: 0 if it occurs in one text, 1 if in
+    several, 2 if in ``HOT_BLOCKS`` blocks or more.
 
     Hashes are compared by bucket (leading bits) and 32 bits more; a chance match only costs a context.
     """
     shift = np.uint64(64 - buckets.bit_length() + 1)
+    hot = HOT_BLOCKS
 
     def offer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -175,9 +181,12 @@ def repeated(blocked: DataFrame, buckets: int, root: str) -> int:
             order = np.argsort(short, kind="stable")
             s = short[order]
             same = s[1:] == s[:-1]
-            many = several.copy()
-            many[order[1:][same]] = True
-            many[order[:-1][same]] = True
+            many = several.astype(np.uint8)
+            many[order[1:][same]] = 1
+            many[order[:-1][same]] = 1
+            first = np.flatnonzero(np.append(True, ~same)) if len(s) else np.zeros(0, np.int64)
+            holders = np.diff(np.append(first, len(s)))
+            many[order[np.repeat(holders >= hot, holders)]] = 2
             cuts = np.concatenate([[0], np.cumsum([len(p) for p in parts])])
             yield pa.RecordBatch.from_arrays([rows.column("block").combine_chunks(), pa.array([bucket] * len(parts), pa.int32()), pa.array([many[i:j].tobytes() for i, j in zip(cuts, cuts[1:])], pa.binary())], names=["block", "bucket", "many"])
 
@@ -193,8 +202,32 @@ def repeated(blocked: DataFrame, buckets: int, root: str) -> int:
     return compared.repartition("block").sortWithinPartitions("block").mapInArrow(keep, "block bigint").count()
 
 
+def _alike(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first row of each kind, which kind each row is) of equal byte rows, in no useful order. Hashes are checked by the rows."""
+    h = np.zeros(len(rows), np.uint64)
+    for k in range(rows.shape[1]):
+        h = h * C._MUL + rows[:, k] + np.uint64(1)
+    _, first, inverse = np.unique(C.mix(h), return_index=True, return_inverse=True)
+    if (rows[first][inverse] == rows).all():
+        return first, inverse
+    _, first, inverse = np.unique(np.ascontiguousarray(rows).view(f"V{rows.shape[1]}")[:, 0], return_index=True, return_inverse=True)  # two kinds share a hash
+    return first, inverse
+
+
+def _windows(place: np.ndarray, h: np.ndarray, left: np.ndarray, right: np.ndarray, at: np.ndarray, whole: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(context, place, hash) of every 50-byte string around the anchors ``at``, by the hash of all its bytes."""
+    low, high = np.maximum(0, LENGTH - right[at]), left[at]  # bytes before the anchor
+    n = np.maximum(high - low + 1, 0)
+    context = np.repeat(at, n)
+    begin = place[context] - np.repeat(high, n) + (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
+    return context, begin, C.mix(whole[begin] ^ np.uint64(0x5BD1E995))
+
+
 def contexts(blocked: DataFrame, buckets: int, root: str) -> DataFrame:
-    """(bucket, block, doc_id, place, left, right, bytes) as arrays, of the repeated anchors of each block."""
+    """(bucket, block, ids, doc, place, left, right, near) as arrays, of the repeated anchors of each block.
+
+    Of contexts that are equal within a block, that of the least id is sent; the others' cuts are written to ``own-<block>``.
+    """
     shift = np.uint64(64 - buckets.bit_length() + 1)
     kinds = {"ids": np.int64, "doc": np.int32, "place": np.int64, "left": np.uint8, "right": np.uint8, "near": np.uint8}
 
@@ -207,72 +240,89 @@ def contexts(blocked: DataFrame, buckets: int, root: str) -> DataFrame:
                     continue
                 place, h, doc = _all_anchors(data, off)
                 s, _ = _distinct(h, doc)
-                hit = np.frombuffer(flags, bool)[np.searchsorted(s, h)]
-                place, h, doc = place[hit], h[hit], doc[hit]
-                order = np.argsort(h >> shift, kind="stable")
-                place, h, doc = place[order], h[order], doc[order]
+                kind = np.frombuffer(flags, np.uint8)[np.searchsorted(s, h)]
+                place, h, doc, kind = (x[kind > 0] for x in (place, h, doc, kind))
                 left = np.minimum(place - off[doc], LEFT)
                 right = np.minimum(off[doc + 1] - place, LENGTH)
+                if (kind == 2).any():
+                    context, begin, own = _windows(place, h, left, right, np.flatnonzero(kind == 2), C.rolling(data, LENGTH))
+                    n, plain = len(context), kind == 1
+                    place, h, doc = (np.concatenate([x[plain], y]) for x, y in ((place, begin), (h, own), (doc, doc[context])))
+                    left = np.concatenate([left[plain], np.zeros(n, left.dtype)])
+                    right = np.concatenate([right[plain], np.full(n, LENGTH, right.dtype)])
+                order = np.lexsort((place, ids[doc], h))
+                place, h, doc, left, right = (x[order] for x in (place, h, doc, left, right))
                 padded = np.concatenate([np.zeros(LEFT, np.uint8), data, np.zeros(LENGTH, np.uint8)])
+                near = padded[place[:, None] + np.arange(LEFT + LENGTH)[None, :]]
+                at = np.arange(-LEFT, LENGTH)[None, :]
+                near[(at < -left[:, None]) | (at >= right[:, None])] = 0
+                first, inverse = _alike(np.concatenate([near, left[:, None].astype(np.uint8), right[:, None].astype(np.uint8)], 1))
+                least = np.full(len(first), len(place))
+                np.minimum.at(least, inverse, np.arange(len(place)))
+                held = least[inverse]  # the first of equal contexts, which has the least id; equal ids are sent too
+                again = np.flatnonzero((ids[doc] > ids[doc[held]]) & (left + right >= LENGTH))
+                spans = np.stack([doc[again].astype(np.int64), place[again] - off[doc[again]] - left[again], place[again] - off[doc[again]] + right[again]], 1)
+                _store(root, f"own-{block}", spans.tobytes())
+                sent = np.flatnonzero((ids[doc] == ids[doc[held]]) & (left + right >= LENGTH))
+                place, h, doc, left, right, near = (x[sent] for x in (place, h, doc, left, right, near))
                 bucket = (h >> shift).astype(np.int64)
-                cuts = np.searchsorted(bucket, np.arange(buckets + 1))
-                used = np.flatnonzero(np.diff(cuts))
+                used, cuts = np.unique(bucket, return_index=True)
+                cuts = np.append(cuts, len(bucket))
                 columns: dict = {c: [] for c in kinds}
-                for b in used:
-                    r = slice(cuts[b], cuts[b + 1])
-                    near = padded[place[r][:, None] + np.arange(LEFT + LENGTH)[None, :]]
-                    for c, v in (("ids", ids[doc[r]]), ("doc", doc[r]), ("place", place[r] - off[doc[r]]), ("left", left[r]), ("right", right[r]), ("near", near)):
+                for i, j in zip(cuts, cuts[1:]):
+                    for c, v in (("ids", ids[doc[i:j]]), ("doc", doc[i:j]), ("place", place[i:j] - off[doc[i:j]]), ("left", left[i:j]), ("right", right[i:j]), ("near", near[i:j])):
                         columns[c].append(np.ascontiguousarray(v, kinds[c]).tobytes())
                 yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([block] * len(used), pa.int64()), *(pa.array(columns[c], pa.binary()) for c in kinds)], names=["bucket", "block", *kinds])
 
     return blocked.mapInArrow(run, "bucket int, block bigint, " + ", ".join(f"{c} binary" for c in kinds))
 
 
-def _ordered(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(distinct byte rows in lexicographic order, which of them each row is). Rows are first reduced by a hash, then checked."""
+def ordered(rows: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(rank of each row, bytes that each place of the order shares with the place before, 0 first) of byte rows of these sizes.
+
+    The different rows, as they come, are one text of symbols; their order is that of the suffixes which begin with a row.
+    """
     n, width = rows.shape
-    rows = np.ascontiguousarray(rows)
-    h = np.zeros(n, np.uint64)
-    for k in range(width):
-        h = h * C._MUL + rows[:, k] + np.uint64(1)
-    _, first, inverse = np.unique(h, return_index=True, return_inverse=True)
-    if not (rows[first][inverse] == rows).all():  # two rows share a hash
-        first, inverse = np.arange(n), np.arange(n)
-    kinds, again = np.unique(rows[first].view(f"V{width}")[:, 0], return_inverse=True)
-    return kinds.view(np.uint8).reshape(-1, width), again[inverse]
+    words = -(-width // SYMBOL)
+    padded = np.zeros((n, words * SYMBOL), np.uint8)
+    padded[:, :width] = rows
+    padded[np.arange(words * SYMBOL)[None, :] >= sizes[:, None]] = 0
+    first, inverse = _alike(np.concatenate([padded, sizes[:, None].astype(np.uint8)], 1))
+    kinds, length = padded[first], sizes[first]
+    symbols = np.zeros((len(first), words, 8), np.uint8)
+    symbols[:, :, :SYMBOL] = kinds.reshape(len(first), words, SYMBOL)
+    symbols[:, :, SYMBOL] = np.clip(length[:, None] - np.arange(words)[None, :] * SYMBOL, 0, SYMBOL)
+    order = suffix_array(symbols.reshape(len(first), -1).view(">u8").astype(np.uint64).ravel())
+    order = order[order % words == 0] // words
+    a, b = kinds[order[:-1]], kinds[order[1:]]
+    differ = a != b
+    common = np.where(differ.any(1), differ.argmax(1), width) if len(a) else np.zeros(0, np.int64)
+    common = np.minimum(common, np.minimum(length[order[:-1]], length[order[1:]]))
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    return rank[inverse], np.concatenate([[0], common]).astype(np.int64)
 
 
 def matches(ids: np.ndarray, left: np.ndarray, right: np.ndarray, near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(greatest, least) number of bytes before the anchor at which a 50-byte string repeats one of a smaller id; -1: none."""
+    """(greatest, least) number of bytes before the anchor at which a 50-byte string repeats one of a smaller id; -1: none.
+
+    Between the two, every such string repeats one as well or is covered by those that do.
+    """
     n = len(ids)
     far, close = np.full(n, -1), np.full(n, -1)
-    body = np.ascontiguousarray(near[:, LEFT:])
-    body[np.arange(LENGTH)[None, :] >= right[:, None]] = 0
-    whole = np.concatenate([body, right[:, None].astype(np.uint8)], axis=1)  # the length tells padding from zero bytes
-    text, inverse = _ordered(whole)
-    wide = (LENGTH + 1) // SYMBOL
-    _, symbol = _ordered(text.reshape(-1, SYMBOL))
-    joined = np.zeros((len(text), wide + 1), np.int64)
-    joined[:, :wide] = symbol.reshape(len(text), wide) + 1  # 0 ends each context
-    order = suffix_array(joined.ravel())
-    order = order[order % (wide + 1) == 0] // (wide + 1)
-    ranked = text[order]
-    differ = ranked[1:, :LENGTH] != ranked[:-1, :LENGTH]
-    common = np.where(differ.any(1), differ.argmax(1), LENGTH)
-    common = np.minimum(common, np.minimum(ranked[1:, LENGTH], ranked[:-1, LENGTH]))
-    rank = np.empty(len(order), np.int64)
-    rank[order] = np.arange(len(order))
-    at = rank[inverse]
-    before = np.zeros(n, np.uint64)
+    after, after_common = ordered(near[:, LEFT:], right)
+    before, before_common = ordered(near[:, :LEFT][:, ::-1], left)
     for j in range(LEFT + 1):
-        if j:
-            before = before * C._MUL + near[:, LEFT - j].astype(np.uint64) + np.uint64(1)
-        need = LENGTH - j
-        ok = np.flatnonzero((left >= j) & (right >= need))
+        ok = np.flatnonzero((left >= j) & (right >= LENGTH - j))
+        if not len(ok):
+            continue
+        run = np.cumsum(after_common < LENGTH - j)[after[ok]]
+        several = np.bincount(run)[run] > 1
+        ok, run = ok[several], run[several]
         if not len(ok):
             continue
-        run = np.concatenate([[0], np.cumsum(common < need)])[at[ok]]
-        key = C.mix(before[ok] + run.astype(np.uint64) * np.uint64(0xD1342543DE82EF95))
+        lead = np.cumsum(before_common < j)[before[ok]]
+        key = run * (lead.max() + 1) + lead
         by = np.argsort(key, kind="stable")
         first = np.flatnonzero(np.append(True, key[by][1:] != key[by][:-1]))
         least = np.repeat(np.minimum.reduceat(ids[ok][by], first), np.diff(np.append(first, len(by))))
@@ -318,8 +368,8 @@ def _kept(blocked: DataFrame, root: str, as_text: bool) -> DataFrame:
         for batch in batches:
             for k in range(batch.num_rows):
                 block, ids, off, data = _opened(batch, k)
-                raw = _load(root, f"cut-{block}")
-                spans = np.frombuffer(raw or b"", np.int64).reshape(-1, 3)
+                raw = (_load(root, f"cut-{block}") or b"") + (_load(root, f"own-{block}") or b"")
+                spans = np.frombuffer(raw, np.int64).reshape(-1, 3)
                 step = np.zeros(len(data) + 1, np.int32)
                 np.add.at(step, off[spans[:, 0]] + spans[:, 1], 1)
                 np.add.at(step, off[spans[:, 0]] + spans[:, 2], -1)
@@ -352,7 +402,7 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", as_text: boo
     unique = d.join(stands.select("doc_id", "source_key"), ["doc_id", "source_key"], "left_semi").dropDuplicates(["doc_id", "source_key"])
     blocked = blocks(unique)
     n = blocked.select("block").count()
-    buckets = 1 << max(4, min(12, (max(n, 1) // 2).bit_length()))
+    buckets = min(MOST_BUCKETS, 1 << max(4, (max(n, 1) // 2).bit_length()))
     root = C.new_path(spark, "repeats")
     repeated(blocked, buckets, root)
     cuts(contexts(blocked, buckets, root), buckets, root)

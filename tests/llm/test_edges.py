@@ -54,9 +54,8 @@ def test_encoder_agrees_with_the_library(name):
     from tokenizers import Tokenizer
 
     lib = Tokenizer.from_file(tokens.default_path(name))
-    lib.encode_special_tokens = True
     e = tokens.Encoder(tokens.default_path(name))
-    parts = ["a", "Été", "é", "'s", "  ", " ", "\n", "\n\n", "\t", " ", "12", "!", "<|endoftext|>", "Σ", "\x1c", "\x01", "한", "don't", "foo.", " the,", "İ"]
+    parts = ["a", "Été", "é", "'s", "  ", " ", "\n", "\n\n", "\t", " ", "12", "!", "<|endoftext|>", "<|startoftext|>", "<|EndOfText|>", "<|end", "Σ", "\x1c", "\x01", "한", "don't", "foo.", " the,", "İ"]
     rng = random.Random(2)
     for _ in range(3000):
         s = "".join(rng.choice(parts) for _ in range(rng.randint(0, 9)))
@@ -98,20 +97,79 @@ def brute_cut(rows):
         for s in range(len(b) - 49):
             if first[b[s : s + 50]] < i:
                 gone[s : s + 50] = b"\1" * 50
-        out.append((i, len(b), sum(gone), hashlib.sha256(bytes(x for x, g in zip(b, gone) if not g)).hexdigest()))
-    return sorted(out)
+        runs = sum(g and not before for g, before in zip(gone, b"\0" + gone))
+        out.append((i, len(b), sum(gone), runs, hashlib.sha256(bytes(x for x, g in zip(b, gone) if not g)).hexdigest()))
+    return sorted(out, key=repr)
+
+
+def cut(docs):
+    got = op3_substrings.digest(docs, *substrings.dedup(docs)).collect()
+    return sorted(((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got), key=repr)
+
+
+def passages(rng):
+    """Documents with shared passages at odd places, runs of one letter, copies, a repeated id and marks of several bytes."""
+    words = ["".join(rng.choice("abcdeé") for _ in range(rng.randint(2, 9))) for _ in range(60)]
+    shared = [" ".join(rng.choice(words) for _ in range(n)) for n in (8, 9, 10, 12, 30, 80)]
+    rows = []
+    for k in range(90):
+        parts = [" ".join(rng.choice(words) for _ in range(rng.randint(0, 40)))]
+        for _ in range(rng.randint(0, 3)):
+            passage = rng.choice(shared)
+            at = rng.randint(0, 20)
+            parts += [passage[at : at + rng.randint(30, 400)], "".join(rng.choice("xyz") for _ in range(rng.randint(0, 30)))]
+        rows.append((100 + k - k % 7 // 6, "".join(parts), "en", "a"))
+    return rows + [(300, "aaaa" * 40, "en", "a"), (301, "aaaa" * 30, "en", "a"), (302, "ab" * 90, "en", "a"), (303, "", "en", "a"), (304, None, "en", "a")]
 
 
 def test_substrings(spark, odd, none):
     rng = random.Random(3)
     more = [(100 + k, "".join(rng.choice("ab") for _ in range(rng.randint(0, 300))) + "-shared passage that is long enough to be found, and then some more-"[: rng.randint(30, 70)], "en", "a") for k in range(40)]
     rows = [r for r in odd[0] if r[0] is not None] + more + [(200, "aaaa" * 40, "en", "a"), (201, "aaaa" * 30, "en", "a")]
-    docs = make(spark, rows)
-    got = op3_substrings.digest(docs, *substrings.dedup(docs)).collect()
-    want = brute_cut([(i, (t or "").encode()) for i, t, _, _ in rows])
-    assert sorted((r["doc_id"], r["n_bytes"], r["n_removed"], r["kept_sha256"]) for r in got) == want
-    assert op3_substrings.digest(odd[1], *substrings.dedup(odd[1])).count() == len(odd[0])
-    assert op3_substrings.digest(none, *substrings.dedup(none)).count() == 0
+    assert cut(make(spark, rows)) == brute_cut([(i, (t or "").encode()) for i, t, _, _ in rows])
+    assert len(cut(odd[1])) == len(odd[0])
+    assert cut(none) == []
+
+
+@pytest.mark.parametrize("block, hot", [(4_000_000, 256), (3000, 256), (3000, 2), (1, 2)])
+def test_substrings_in_blocks(spark, monkeypatch, block, hot):
+    """Many blocks, hot anchors (in ``hot`` blocks or more) and a block of one text each: always as brute force has it."""
+    monkeypatch.setattr(substrings, "BLOCK_BYTES", block)
+    monkeypatch.setattr(substrings, "HOT_BLOCKS", hot)
+    rows = passages(random.Random(block + hot))
+    assert cut(make(spark, rows).repartition(3)) == brute_cut([(i, (t or "").encode()) for i, t, _, _ in rows])
+
+
+def test_substrings_of_a_text_longer_than_a_block(spark):
+    rng = random.Random(9)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(7)) for _ in range(3000)]
+    long_ = " ".join(rng.choice(words) for _ in range(560_000))
+    assert len(long_) > substrings.BLOCK_BYTES
+    rows = [(1, long_[2_000_000:2_000_400] + "!" * 9, "en", "a"), (2, long_, "en", "a"), (3, "?" + long_[4_100_000:4_100_200], "en", "a")]
+    got = sorted(cut(make(spark, rows)))
+    assert [r[:4] for r in got] == [(1, 409, 0, 0), (2, len(long_), 400, 1), (3, 201, 200, 1)]
+    assert got[1][4] == hashlib.sha256((long_[:2_000_000] + long_[2_000_400:]).encode()).hexdigest()
+
+
+def test_substrings_come_through_the_suffix_order(monkeypatch):
+    """Matches are runs of the construction's order: with the order of the text in its place, they are lost."""
+    rng = np.random.default_rng(5)
+    base = rng.integers(97, 123, (40, 76), dtype=np.uint8)
+    near = base[rng.integers(0, 40, 400)].copy()
+    near[np.arange(400), rng.integers(0, 76, 400)] ^= 1
+    ids, left, right = np.arange(400), np.full(400, 26), np.full(400, 50)
+    far, close = substrings.matches(ids, left, right, near)
+    whole = [{j: bytes(r[26 - j : 76 - j]) for j in range(27)} for r in near]
+    first = {}
+    for j in range(27):
+        for i in range(400):
+            first.setdefault((j, whole[i][j]), i)
+    for i in range(400):
+        hit = [j for j in range(27) if first[j, whole[i][j]] < i]
+        assert (far[i], close[i]) == ((max(hit), min(hit)) if hit else (-1, -1))
+    monkeypatch.setattr(substrings, "suffix_array", lambda s: np.arange(len(s)))
+    again, _ = substrings.matches(ids, left, right, near)
+    assert (again >= 0).sum() < (far >= 0).sum()
 
 
 def test_simhash(spark, odd, none):
