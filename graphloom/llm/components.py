@@ -26,7 +26,7 @@ def components(edges: DataFrame) -> DataFrame:
     given = edges.select(F.col("a"), F.col("b")).filter("a IS NOT NULL AND b IS NOT NULL")
     now = C.written(given.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     loops = now.filter("a = b").select("a")
-    now_edges, before = now.filter("a > b"), None
+    now_edges, before, last = now.filter("a > b"), None, None
     while (mark := _signature(now_edges)) != before:
         before = mark
         if not mark[0]:
@@ -40,6 +40,8 @@ def components(edges: DataFrame) -> DataFrame:
         joined = large.join(low, "a")
         small = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b"))).filter("a > b").distinct()
         now_edges = C.written(small, "small-star")
+        C.forget(large, *([last] if last is not None else []))
+        last = now_edges
     roots = now_edges.select("b").distinct().select(F.col("b").alias("node"), F.col("b").alias("root"))
     out = now_edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(roots)
     alone = loops.join(out.select(F.col("node").alias("a")), "a", "left_anti")

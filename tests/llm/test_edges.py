@@ -222,6 +222,57 @@ def test_simhash_links_across_blocks(spark, monkeypatch):
     assert got == dict(zip([r[0] for r in rows], brute_classes(rows)))
 
 
+def near_copies(seed, n_bases, copies, changes):
+    """Bases of 200 words with copies in which some words are changed; most stay at a similarity of 0.8 or more, some don't."""
+    rng = random.Random(seed)
+    words = ["".join(rng.choice("abcdefg") for _ in range(6)) for _ in range(2000)]
+    rows = []
+    for _ in range(n_bases):
+        base = [rng.choice(words) for _ in range(200)]
+        rows.append((len(rows), " ".join(base), "en", "a"))
+        for _ in range(copies):
+            w = list(base)
+            for _ in range(rng.randint(*changes)):
+                w[rng.randrange(200)] = rng.choice(words)
+            rows.append((len(rows), " ".join(w), "en", "a"))
+    return rows
+
+
+@pytest.mark.parametrize("small, crowd, n_bases, copies, changes", [(512, 2048, 300, 1, (1, 5)), (8, 16, 300, 1, (1, 4)), (8, 16, 3, 150, (1, 3))])
+def test_simhash_recall(spark, monkeypatch, small, crowd, n_bases, copies, changes):
+    """At least nine in ten links by exact similarity are within a class, with lists by brute force, by the recursion and crowded; no link is invented."""
+    monkeypatch.setattr(simhash, "SMALL", small)
+    monkeypatch.setattr(simhash, "CROWD", crowd)
+    rows = near_copies(small + copies, n_bases, copies, changes)
+    got = {r["doc_id"]: r["class_id"] for r in simhash.classes(make(spark, rows)).collect()}
+    want = brute_classes(rows)
+    linked = [(r[0], w) for r, w in zip(rows, want) if r[0] != w]
+    assert len(linked) > len(rows) * 0.3
+    assert sum(got[a] == got[b] for a, b in linked) >= 0.9 * len(linked)
+    by_class = dict(zip([r[0] for r in rows], want))
+    assert all(by_class[a] == by_class[b] for a, b in got.items())
+
+
+def test_simhash_of_different_texts_that_share_an_id(spark):
+    rows = near_copies(4, 6, 1, (1, 1))
+    rows = [(r[0] // 2 % 2, *r[1:]) for r in rows]  # ids 0 and 1, each for six texts
+    got = simhash.classes(make(spark, rows)).select("doc_id", "text_key", "class_id", "keep").collect()
+    assert len(got) == 12 and sum(r["keep"] for r in got) == 6
+    want = brute_classes([(k, *r[1:]) for k, r in enumerate(rows)])
+    keys = [hashlib.md5(r[1].encode()).digest() for r in rows]
+    by = {bytes(r["text_key"]): (r["class_id"], r["keep"]) for r in got}
+    for k, key in enumerate(keys):
+        assert by[key][0] == rows[k][0] and by[key][1] == (key == min(x for x, w in zip(keys, want) if w == want[k]))
+
+
+def test_simhash_effort():
+    assert [simhash.effort(n)[0] for n in (0, 1000, 400_000, 20_000_000, 50_000_000)] == [1, 1, 1, 1, 2]
+    assert simhash.effort(1000)[1] == simhash.effort(20_000_000)[1] <= 13
+    for m in (100, 5000, 400_000):
+        levels, times = simhash.inner_effort(m, 512)
+        assert 1 - (1 - simhash.pass_rate(simhash.flip_rate(0.8)) ** levels) ** times >= 0.9
+
+
 def test_components(spark):
     rng = random.Random(4)
     edges = [(rng.randint(0, 120), rng.randint(0, 120)) for _ in range(90)] + [(5, 5), (500, 500), (None, 1)]
