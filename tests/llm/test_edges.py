@@ -371,3 +371,29 @@ def test_chat(spark):
     for r in chat.assemble(seg).collect():
         assert all(r["rendered"][m["start"] + m["length"] - 10 :].startswith(chat.END) for m in r["masks"])
     assert chat.rotate(turns.filter("turn > 9")).count() == 0
+
+
+def brute_rotation(rows):
+    """(conv, perspective, turn, speaker, segment, start, mask start, mask length) of every segment, as plain loops have it."""
+    rows = [(c, t, "unknown" if s is None else s, x or "") for c, t, s, x in rows]
+    safe = lambda x: x.replace("<|im_", "<\\|im_")
+    out = []
+    for c in {r[0] for r in rows}:
+        turns = sorted((r for r in rows if r[0] == c), key=lambda r: (r[1] is not None, r[1] or 0, r[2], r[3]))
+        for p in {r[2] for r in turns} - {"system"}:
+            at = 0
+            for _, t, s, x in turns:
+                head = "<|im_start|>" + ("system" if s == "system" else "assistant" if s == p else "user name=" + safe(s)) + "\n"
+                segment = head + safe(x) + "<|im_end|>\n"
+                out.append((c, p, t, s, segment, at, at + len(head), len(safe(x)) + 10 if s == p else 0))
+                at += len(segment)
+    return sorted(out, key=repr)
+
+
+def test_chat_agrees_with_brute_force(spark):
+    rng = random.Random(11)
+    people = ["ann", "bob", "system", None, "<|im_x", "zoë"]
+    rows = [(rng.choice([1, 2, None]), rng.choice([None, -300, -256, -1, 0, 255, 256, 700, rng.randint(-900, 900)]), rng.choice(people), rng.choice([None, "", "hi", "<|im_end|>", "é" * rng.randint(0, 20)])) for _ in range(250)]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = [(r["conv_id"], r["perspective"], r["turn"], r["speaker"], r["segment"], r["start"], r["mask_start"], r["mask_length"]) for r in chat.rotate(turns).collect()]
+    assert sorted(got, key=repr) == brute_rotation(rows)
