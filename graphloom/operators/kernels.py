@@ -33,18 +33,19 @@ def fans(edges: DataFrame) -> DataFrame:
     return both.select("node", F.coalesce("fan_in", F.lit(0)).alias("fan_in"), F.coalesce("fan_out", F.lit(0)).alias("fan_out"))
 
 
-def weighted_score(df: DataFrame, weights: dict[str, float], name: str = "score") -> DataFrame:
-    """Adds the weighted sum of min-max normalised columns; a column whose values are equal counts 0.
+def weighted_score(df: DataFrame, weights: dict[str, float], name: str = "score", keys: list[str] | None = None) -> DataFrame:
+    """Adds the weighted sum of columns normalised to their least and greatest values (of the same ``keys``); equal values count 0.
 
-    The extremes are one aggregated row, joined by broadcast.
+    Without keys the extremes are one aggregated row, joined by broadcast. Null values and weights add nothing.
     """
-    ends = df.agg(*[f(c).alias(f"_{n}_{c}") for c in weights for n, f in (("lo", F.min), ("hi", F.max))])
-    d = df.crossJoin(F.broadcast(ends))
+    keys = keys or []
+    lows, highs = ([f"__{n}_{k}" for k in range(len(weights))] for n in ("lo", "hi"))
+    ends = df.groupBy(*keys).agg(*[f(c).alias(a) for names, f in ((lows, F.min), (highs, F.max)) for c, a in zip(weights, names)])
+    d = df.join(ends, keys) if keys else df.crossJoin(F.broadcast(ends))
     total = F.lit(0.0)
-    for c, w in weights.items():
-        lo, hi = F.col(f"_lo_{c}"), F.col(f"_hi_{c}")
-        total = total + F.lit(w) * F.coalesce(F.try_divide((F.col(c) - lo).cast("double"), (hi - lo).cast("double")), F.lit(0.0))
-    return d.withColumn(name, total).drop(*ends.columns)
+    for (c, w), lo, hi in zip(weights.items(), lows, highs):
+        total = total + F.lit(w) * F.coalesce(F.try_divide((F.col(c) - F.col(lo)).cast("double"), (F.col(hi) - F.col(lo)).cast("double")), F.lit(0.0))
+    return d.withColumn(name, total).drop(*lows, *highs)
 
 
 def budgeted_prefix(df: DataFrame, keys: list[str], order: list[Column], cost: str, budget: float) -> DataFrame:
@@ -79,27 +80,33 @@ def islands(df: DataFrame, keys: list[str], at: Column, order: list[Column], gap
     return d.withColumn("island", F.sum("_new").over(w.rowsBetween(*_BEFORE))).drop("_at", "_new")
 
 
-def longest_prefix(df: DataFrame, column: str, prefixes: DataFrame, sep: str = "/") -> DataFrame:
-    """Adds ``prefix``: the longest of ``prefixes`` (prefix) that is the column's value or leads it up to a separator.
+def _parts(column: str, sep: str) -> Column:
+    return F.split(F.col(column), "\\Q" + sep + "\\E")
 
-    Prefixes of each distinct value are exploded and met by an equi-join, never by a theta join.
+
+def longest_prefix(df: DataFrame, column: str, prefixes: DataFrame, sep: str = "/", keys: list[str] | None = None) -> DataFrame:
+    """Adds ``prefix``: the longest of ``prefixes`` (keys and prefix) that is the column's value or leads it up to a separator.
+
+    Prefixes of each distinct value are exploded and met by an equi-join, never by a theta join. Null values have none.
     """
-    parts = F.split(F.col(column), sep)
+    keys = keys or []
+    parts = _parts(column, sep)
     each = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i * 0 + 1, i), sep))
-    cand = df.select(column).distinct().select(column, F.explode(each).alias("prefix"))
-    best = cand.join(prefixes.select("prefix").distinct(), "prefix").groupBy(column).agg(F.max_by("prefix", F.length("prefix")).alias("prefix"))
-    return df.join(best, column, "left")
+    cand = df.select(*keys, column).filter(F.col(column).isNotNull()).distinct().select(*keys, column, F.explode(each).alias("prefix"))
+    best = cand.join(prefixes.select(*keys, "prefix").distinct(), [*keys, "prefix"]).groupBy(*keys, column).agg(F.max_by("prefix", F.length("prefix")).alias("prefix"))
+    return df.join(best, [*keys, column], "left")
 
 
-def shortest_unique_suffix(df: DataFrame, column: str, sep: str = "/") -> DataFrame:
-    """(column, suffix) of distinct values: the shortest trailing run of components that no other value has, else the value."""
-    values = df.select(column).distinct().filter(F.col(column).isNotNull())
-    parts = F.split(F.col(column), sep)
+def shortest_unique_suffix(df: DataFrame, column: str, sep: str = "/", keys: list[str] | None = None) -> DataFrame:
+    """(keys, column, suffix) of distinct values: the shortest trailing run of components that no other value of the keys has, else the value."""
+    keys = keys or []
+    values = df.select(*keys, column).distinct().filter(F.col(column).isNotNull())
+    parts = _parts(column, sep)
     each = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.struct(i.alias("n"), F.array_join(F.slice(parts, -i, i), sep).alias("suffix")))
-    s = values.select(column, F.explode(each).alias("x")).select(column, "x.n", "x.suffix")
-    alone = s.groupBy("suffix", "n").agg(F.count("*").alias("c"), F.max(column).alias(column)).filter("c = 1")
-    best = alone.groupBy(column).agg(F.min_by("suffix", "n").alias("suffix"))
-    return values.join(best, column, "left").select(column, F.coalesce("suffix", column).alias("suffix"))
+    s = values.select(*keys, column, F.explode(each).alias("x")).select(*keys, column, "x.n", "x.suffix")
+    alone = s.groupBy(*keys, "suffix", "n").agg(F.count("*").alias("c"), F.max(column).alias(column)).filter("c = 1")
+    best = alone.groupBy(*keys, column).agg(F.min_by("suffix", "n").alias("suffix"))
+    return values.join(best, [*keys, column], "left").select(*keys, column, F.coalesce("suffix", column).alias("suffix"))
 
 
 def first_interval(points: DataFrame, spans: DataFrame, keys: list[str], at: str, begin: str, end: str) -> DataFrame:
