@@ -1,6 +1,7 @@
 """Text of docstrings, comments and readmes: what a file or function says it is for.
 
-Plain functions on strings, used inside the parser and on their own; ``licence`` is a column expression as well.
+Plain functions on strings, used inside the parser and on their own, and column expressions of the same (``licence``,
+``first_sentence_of``, ``purpose_of``), which know ASCII white space only.
 """
 
 from __future__ import annotations
@@ -104,3 +105,44 @@ def readme_purpose(text: str) -> str | None:
         if paragraph and paragraph[0] not in "#=<" and paragraph[:2] != "[!":
             return first_sentence(paragraph)
     return None
+
+
+# ---- as columns -----------------------------------------------------------------------------------------------------------------
+
+_RULE = "^([=\\-`:'\"~^_*+#<>])\\1{2,}$"
+
+
+def _stripped(text: Column) -> Column:
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
+def _untitled(text: Column) -> Column:
+    lines = F.split(_stripped(text), "\n")
+    rule = lambda i: F.coalesce(_stripped(F.get(lines, i)).rlike(_RULE), F.lit(False))
+    state = lambda at, done: F.struct(at.cast("int").alias("at"), F.lit(done).alias("done"))
+
+    def step(acc: Column, i: Column) -> Column:
+        over = (_stripped(F.get(lines, i)) == "") | rule(i)
+        return F.when(acc["done"] | (i < acc["at"]), acc).when(over, state(i + 1, False)).when(rule(i + 1), state(i + 2, False)).otherwise(state(acc["at"], True))
+
+    at = F.aggregate(F.sequence(F.lit(0), F.size(lines) - 1), state(F.lit(0), False), step, lambda acc: acc["at"])
+    return F.array_join(F.slice(lines, at + 1, F.size(lines)), "\n")
+
+
+def _sentence(paragraph: Column) -> Column:
+    one = F.regexp_replace(_stripped(paragraph), r"\s+", " ")
+    head = F.regexp_extract(one, r"^(.*?(?<![A-Z])[.!?])(?:\s|$)", 1)
+    return F.nullif(F.regexp_replace(F.when(head != "", head).otherwise(one), r"\.+$", ""), F.lit(""))
+
+
+def first_sentence_of(text: Column) -> Column:
+    """``first_sentence``; null for null."""
+    return _sentence(F.substring_index(_untitled(text), "\n\n", 1))
+
+
+def purpose_of(doc: Column) -> Column:
+    """``module_purpose``; null for null."""
+    said = F.filter(F.transform(F.split(_untitled(doc), "\n\n"), first_sentence_of), lambda x: x.isNotNull())
+    first, second = F.get(said, F.lit(0)), F.get(said, F.lit(1))
+    found = F.when(~licence(first), first).when(~licence(second), second)
+    return F.when(found.rlike(r"\p{L}"), found)

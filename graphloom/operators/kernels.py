@@ -5,22 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphloom.operators.store import forget, written
+
 _BEFORE = (Window.unboundedPreceding, Window.currentRow)
 
 
 def dedupe_by_rank(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """The first row of each group of equal keys; end ``order`` with a unique column."""
     w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
-
-
-def contains_any(column: Column, markers: list[str]) -> Column:
-    """Does the text hold any marker, whatever the case?"""
-    low = F.lower(column)
-    out = F.lit(False)
-    for m in markers:
-        out = out | low.contains(m)
-    return out
+    return df.withColumn("__n", F.row_number().over(w)).filter("__n = 1").drop("__n")
 
 
 def distinct_edges(df: DataFrame, src: str, dst: str) -> DataFrame:
@@ -51,33 +44,57 @@ def weighted_score(df: DataFrame, weights: dict[str, float], name: str = "score"
 def budgeted_prefix(df: DataFrame, keys: list[str], order: list[Column], cost: str, budget: float) -> DataFrame:
     """Longest leading run whose running cost is within the budget, for costs that aren't negative."""
     w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(*_BEFORE)
-    return df.withColumn("_run", F.sum(cost).over(w)).filter(F.col("_run") <= budget).drop("_run")
+    return df.withColumn("__run", F.sum(cost).over(w)).filter(F.col("__run") <= budget).drop("__run")
 
 
-def kth_smallest(df: DataFrame, column: str, divisor: int = 3) -> DataFrame:
-    """One row ``cutoff``: the k-th smallest value, k a divisor-th of the rows, 1 at least.
+def kth_smallest(df: DataFrame, column: str, divisor: int = 3, parts: int = 64) -> DataFrame:
+    """One row ``cutoff``: the k-th smallest value of a number column, k a divisor-th of its rows, 1 at least. Nulls don't count.
 
-    Values are counted first, so the ordered pass has one row a distinct value.
+    Values are counted first. A sketch of the distribution cuts them into ``parts`` ranges, whose totals (one row each) say which
+    range holds the k-th value; only that range is ordered, so no task sees more than about a ``parts``-th of the values.
     """
-    counts = df.filter(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("n"))
+    values = df.filter(F.col(column).isNotNull())
+    counts = values.groupBy(column).agg(F.count("*").alias("n"))
+    cuts = values.agg(F.percentile_approx(column, [k / parts for k in range(1, parts)], 100 * parts).alias("_cuts"))
+    d = counts.crossJoin(F.broadcast(cuts)).select(column, "n", F.size(F.filter("_cuts", lambda c: c < F.col(column))).alias("_part"))
+    sums = d.groupBy("_part").agg(F.sum("n").alias("_n"))
+    upto = Window.orderBy("_part").rowsBetween(*_BEFORE)  # one row a part
+    whole = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    k = F.greatest(F.floor(F.sum("_n").over(whole) / divisor), F.lit(1))
+    place = sums.select("_part", k.alias("_k"), F.sum("_n").over(upto).alias("_upto"), "_n").filter("_upto >= _k AND _upto - _n < _k").select("_part", (F.col("_k") - F.col("_upto") + F.col("_n")).alias("_k"))
+    one = d.join(F.broadcast(place), "_part")
     w = Window.orderBy(column).rowsBetween(*_BEFORE)
-    total = counts.agg(F.greatest(F.floor(F.sum("n") / divisor), F.lit(1)).alias("k"))
-    return counts.withColumn("upto", F.sum("n").over(w)).crossJoin(F.broadcast(total)).filter("upto >= k").agg(F.min(column).alias("cutoff"))
+    return one.withColumn("_upto", F.sum("n").over(w)).filter("_upto >= _k").agg(F.min(column).alias("cutoff"))
 
 
 def top_with_skip(df: DataFrame, keys: list[str], order: list[Column], free: int, keep: Column) -> DataFrame:
     """The first ``free`` rows of each group, then the first later one where ``keep`` holds."""
     w = Window.partitionBy(*keys).orderBy(*order)
-    d = df.withColumn("_n", F.row_number().over(w)).withColumn("_ok", (F.col("_n") > free) & keep)
-    first = F.min(F.when(F.col("_ok"), F.col("_n"))).over(Window.partitionBy(*keys))
-    return d.withColumn("_f", first).filter((F.col("_n") <= free) | (F.col("_n") == F.col("_f"))).withColumnRenamed("_n", "place").drop("_ok", "_f")
+    d = df.withColumn("__n", F.row_number().over(w)).withColumn("__ok", (F.col("__n") > free) & keep)
+    first = F.min(F.when(F.col("__ok"), F.col("__n"))).over(Window.partitionBy(*keys))
+    return d.withColumn("__f", first).filter((F.col("__n") <= free) | (F.col("__n") == F.col("__f"))).withColumnRenamed("__n", "place").drop("__ok", "__f")
 
 
 def islands(df: DataFrame, keys: list[str], at: Column, order: list[Column], gap: float) -> DataFrame:
-    """Adds ``island``, a number within the group that grows wherever ``at`` is more than ``gap`` past the row before."""
+    """Adds ``island``, a number within the group that grows wherever ``at`` is more than ``gap`` past the row before. Null keys
+    are a group; a null place begins no island."""
     w = Window.partitionBy(*keys).orderBy(*order)
-    d = df.withColumn("_at", at).withColumn("_new", F.when(F.col("_at") - F.lag("_at").over(w) > gap, 1).otherwise(0))
-    return d.withColumn("island", F.sum("_new").over(w.rowsBetween(*_BEFORE))).drop("_at", "_new")
+    d = df.withColumn("__at", at).withColumn("__new", F.when(F.col("__at") - F.lag("__at").over(w) > gap, 1).otherwise(0))
+    return d.withColumn("island", F.sum("__new").over(w.rowsBetween(*_BEFORE))).drop("__at", "__new")
+
+
+def island_summaries(df: DataFrame, keys: list[str], at: Column, gap: int, width: int, aggregates: dict[str, tuple[Column, Column]]) -> DataFrame:
+    """(keys, island, begin, end, aggregates) of runs of rows with at most ``gap`` between neighbours, for hot groups.
+
+    Rows are first summed up by cells of ``width`` <= gap + 1 of ``at``, all of whose rows are neighbours, with no sort; then
+    neighbouring cells are joined. ``aggregates``: name -> (partial over rows, final over the partial named ``_<name>``).
+    """
+    cell = F.floor(at / width)
+    parts = df.filter(at.isNotNull()).groupBy(*keys, cell.alias("_cell")).agg(F.min(at).alias("_begin"), F.max(at).alias("_end"), *[p.alias(f"_{n}") for n, (p, _) in aggregates.items()])
+    w = Window.partitionBy(*keys).orderBy("_cell")
+    d = parts.withColumn("_new", F.when(F.col("_begin") - F.lag("_end").over(w) > gap, 1).otherwise(0))
+    d = d.withColumn("island", F.sum("_new").over(w.rowsBetween(*_BEFORE)))
+    return d.groupBy(*keys, "island").agg(F.min("_begin").alias("begin"), F.max("_end").alias("end"), *[f.alias(n) for n, (_, f) in aggregates.items()])
 
 
 def _parts(column: str, sep: str) -> Column:
@@ -110,22 +127,82 @@ def shortest_unique_suffix(df: DataFrame, column: str, sep: str = "/", keys: lis
 
 
 def first_interval(points: DataFrame, spans: DataFrame, keys: list[str], at: str, begin: str, end: str) -> DataFrame:
-    """Each point with the begin of the first span of its group that holds it."""
-    j = points.join(spans.select(*keys, begin, end), keys).filter((F.col(begin) <= F.col(at)) & (F.col(at) <= F.col(end)))
-    return j.groupBy(*points.columns).agg(F.min(begin).alias(begin))
+    """Each point that a span of its group holds, with the begin of the first such span (the least begin). Repeated points stay.
+
+    Points and spans go through one sort a group. The span of a begin that reaches furthest stands for it; a begin counts for
+    a point only if no earlier one reaches it, so the first begin whose reach so far (a running maximum) is at the point or
+    beyond is the answer: points are looked up in these reaches, in growing order, by a second sort. Nothing is joined, so a
+    group costs its points plus its spans. A hot group is one sort of one task, spilling to disk.
+    """
+    one = spans.groupBy(*keys, begin).agg(F.max(end).alias("_reach"))
+    order = Window.partitionBy(*keys).orderBy(begin)
+    # begins that push the reach further, with the interval of points for which they are the first: (reach before, own reach]
+    one = one.withColumn("_before", F.max("_reach").over(order.rowsBetween(Window.unboundedPreceding, -1)))
+    steps = one.filter(F.col("_before").isNull() | (F.col("_reach") > F.col("_before")))
+    names = points.columns
+    p = points.select(*names, F.lit(None).cast(steps.schema[begin].dataType).alias("_begin"), F.col(at).alias("_at"), F.lit(0).alias("_kind"))
+    missing = [F.lit(None).cast(points.schema[n].dataType).alias(n) if n not in keys else F.col(n) for n in names]
+    q = steps.select(*missing, F.col(begin).alias("_begin"), F.col("_reach").alias("_at"), F.lit(1).alias("_kind"))
+    later = Window.partitionBy(*keys).orderBy(F.desc("_at"), F.desc("_kind")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    both = p.unionByName(q).withColumn("_begin", F.last("_begin", ignorenulls=True).over(later)).filter("_kind = 0")
+    return both.filter(F.col("_begin") <= F.col(at)).select(*names, F.col("_begin").alias(begin))
 
 
 def bounded_reach(edges: DataFrame, sources: DataFrame, depth: int) -> DataFrame:
-    """(source, node, hops): nodes within ``depth`` hops of each source, itself included, by breadth-first rounds."""
-    seen = sources.select(F.col("node").alias("source"), "node", F.lit(0).alias("hops")).distinct()
-    front = seen
+    """(source, node, hops): nodes within ``depth`` hops of each source, itself included, by breadth-first rounds.
+
+    Every round's front is written, so that no round is computed twice, and the search ends when a front is empty.
+    """
+    front = written(sources.select(F.col("node").alias("source"), "node", F.lit(0).alias("hops")).filter("node IS NOT NULL").distinct(), "front")
+    seen = front
     for hop in range(1, depth + 1):
         step = front.join(edges, front["node"] == edges["src"]).select("source", F.col("dst").alias("node")).distinct()
-        front = step.join(seen.select("source", "node"), ["source", "node"], "left_anti").withColumn("hops", F.lit(hop))
+        front = written(step.join(seen.select("source", "node"), ["source", "node"], "left_anti").withColumn("hops", F.lit(hop)), "front")
+        if front.isEmpty():
+            break
         seen = seen.unionByName(front)
     return seen
 
 
+def least_hops(edges: DataFrame, sources: DataFrame) -> DataFrame:
+    """(node, hops): hops from the nearest of ``sources`` (node), for all nodes that they lead to, however far."""
+    seen = front = written(sources.select("node", F.lit(0).alias("hops")).filter("node IS NOT NULL").distinct(), "front")
+    hop = 0
+    while not front.isEmpty():
+        hop += 1
+        step = front.join(edges, front["node"] == edges["src"]).select(F.col("dst").alias("node")).distinct()
+        front = written(step.join(seen.select("node"), "node", "left_anti").withColumn("hops", F.lit(hop)), "front")
+        seen = seen.unionByName(front)
+    return seen
+
+
+def topological_levels(nodes: DataFrame, needs: DataFrame) -> DataFrame:
+    """(node, level): nodes whose needs (node, need) are all placed come next, together; where every one left waits for another,
+    the least of them is placed. Needs outside ``nodes`` and of oneself don't count.
+
+    A round is one anti-join over what is left, written; rounds are as many as there are levels.
+    """
+    left = written(nodes.select("node").distinct(), "left")
+    waits = needs.filter("node != need").join(left.select(F.col("node").alias("need")), "need", "left_semi").select("node", "need").distinct()
+    placed, level = [], 0
+    while True:
+        blocked = waits.join(left.select(F.col("node").alias("need")), "need", "left_semi").select("node").distinct()
+        ready = left.join(blocked, "node", "left_anti")
+        if ready.isEmpty():
+            ready = left.agg(F.min("node").alias("node")).filter("node IS NOT NULL")
+        ready = written(ready.withColumn("level", F.lit(level)), "level")
+        if ready.isEmpty():
+            break
+        placed.append(ready)
+        left = written(left.join(ready, "node", "left_anti"), "left")
+        waits = written(waits.join(ready, "node", "left_anti"), "waits")
+        level += 1
+    out = placed[0] if placed else nodes.select("node", F.lit(0).alias("level")).limit(0)
+    for p in placed[1:]:
+        out = out.union(p)
+    return out
+
+
 def reach_all(edges: DataFrame, depth: int, parts: int = 16) -> DataFrame:
     """(source, node, hops): like ``bounded_reach`` from every node of ``edges`` (src, dst), 64 sources a row and round.
 
@@ -157,13 +234,27 @@ def subset_of(df: DataFrame, key: str, item: str, other: DataFrame) -> DataFrame
     return df.select(key).distinct().join(out, key, "left_anti")
 
 
-def greedy_cover(sets: DataFrame, key: str, item: str, rounds: int) -> list[tuple]:
-    """(key, gain) of up to ``rounds`` keys, each adding the most items not yet covered; ties take the least key."""
-    left, picked = sets.select(key, item).distinct(), []
-    for _ in range(rounds):
-        best = left.groupBy(key).agg(F.count("*").alias("gain")).orderBy(F.desc("gain"), key).first()
-        if best is None:
+def greedy_cover(sets: DataFrame, key: str, item: str, rounds: int, first: Column | None = None) -> DataFrame:
+    """(place, key, gain) of up to ``rounds`` keys, each adding the most items not yet covered; ties take the least key, and
+    nothing is added that covers nothing new. ``first``: the key that comes first whatever it covers.
+
+    What is left is written after each round, so a round is one aggregate and one anti-join over it; one row a round is kept.
+    """
+    left = written(sets.select(key, item).filter(F.col(key).isNotNull()).distinct(), "uncovered")
+    picked = []
+    for place in range(rounds):
+        gains = left.groupBy(key).agg(F.count("*").alias("gain"))
+        if place == 0 and first is not None:
+            gains = gains.filter(F.col(key) == first)
+        best = written(gains.orderBy(F.desc("gain"), key).limit(1).select(F.lit(place).alias("place"), key, "gain"), "picked")
+        picked.append(best)
+        if best.isEmpty():
             break
-        picked.append((best[key], best["gain"]))
-        left = left.join(left.filter(F.col(key) == best[key]).select(item), item, "left_anti")
-    return picked
+        covered = left.join(F.broadcast(best.select(key)), key, "left_semi").select(item)
+        after = written(left.join(covered, item, "left_anti"), "uncovered")
+        forget(left)
+        left = after
+    out = picked[0]
+    for p in picked[1:]:
+        out = out.union(p)
+    return out

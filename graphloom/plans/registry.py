@@ -4,15 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from graphloom.functions import prose
 from graphloom.operators import kernels as K
+from graphloom.operators import notes
+from graphloom.operators import ranking as R
+from graphloom.plans import mapqueries
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-MARKERS = ["licensed under", "all rights reserved", "copyright", "permission is hereby granted", "general public license", "apache license", "mit license", "spdx-license"]
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = dict(mapqueries.QUERIES)
+ORACLES: dict[str, str] = dict(mapqueries.ORACLES)
 
 
 def _query(name: str, sql: str | None = None):
@@ -31,9 +33,42 @@ def _(t):
     return K.dedupe_by_rank(d, ["k"], [F.desc("n_chars"), F.desc("doc_id")]).select("doc_id", "n_chars")
 
 
-@_query("q03_licence_markers", "SELECT doc_id FROM documents WHERE " + " OR ".join(f"contains(lower(text), '{m}')" for m in MARKERS))
+_WHITE = r"[ \t\n\r\f\v]"
+_RULE_LINE = r"[ \t\r\f\v]*(?:" + "|".join("\\" + m + "{3,}" for m in "=-`:'\"~^_*+#<>").replace("'", "''") + r")[ \t\r\f\v]*(?:\n|$)"
+
+
+def _untitled_sql(x: str) -> str:
+    return f"regexp_replace(regexp_replace({x}, '^{_WHITE}+|{_WHITE}+$', '', 'g'), '^(?:[ \\t\\r\\f\\v]*\\n|{_RULE_LINE}|[^\\n]*\\n{_RULE_LINE})*', '')"
+
+
+def _sentence_sql(x: str) -> str:
+    one = f"regexp_replace(regexp_replace({x}, '^{_WHITE}+|{_WHITE}+$', '', 'g'), '{_WHITE}+', ' ', 'g')"
+    head = f"regexp_extract({one}, '^((?:.*?[^A-Z])??[.!?])(?: |$)', 1)"
+    return f"nullif(regexp_replace(CASE WHEN {head} != '' THEN {head} ELSE {one} END, '\\.+$', ''), '')"
+
+
+_FIRST_SENTENCE = _sentence_sql(f"string_split({_untitled_sql('x')}, chr(10) || chr(10))[1]")
+
+
+@_query("q02_first_sentence", f"SELECT doc_id, {_FIRST_SENTENCE} AS said FROM (SELECT doc_id, text AS x FROM documents)")
+def _(t):
+    return t("documents").select("doc_id", prose.first_sentence_of(F.col("text")).alias("said"))
+
+
+@_query("q03_licence_markers", "SELECT doc_id FROM documents WHERE " + " OR ".join(f"contains(lower(text), '{m}')" for m in prose.LICENCE_MARKERS))
+def _(t):
+    return t("documents").filter(prose.licence(F.col("text"))).select("doc_id")
+
+
+_IS_LICENCE = " OR ".join(f"contains(lower(said), '{m}')" for m in prose.LICENCE_MARKERS)
+
+
+@_query("q04_purpose", f"""WITH p AS (SELECT doc_id, unnest(ps) AS x, generate_subscripts(ps, 1) AS i FROM (SELECT doc_id, string_split({_untitled_sql('text')}, chr(10) || chr(10)) AS ps FROM documents)),
+s AS (SELECT doc_id, i, {_FIRST_SENTENCE} AS said FROM p), n AS (SELECT *, {_IS_LICENCE} AS licence, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS k FROM s WHERE said IS NOT NULL),
+f AS (SELECT doc_id, min_by(said, k) AS said FROM n WHERE k <= 2 AND NOT licence GROUP BY 1)
+SELECT doc_id, CASE WHEN regexp_matches(said, '\\p{{L}}') THEN said END AS purpose FROM documents LEFT JOIN f USING (doc_id)""")
 def _(t):
-    return t("documents").filter(K.contains_any(F.col("text"), MARKERS)).select("doc_id")
+    return t("documents").select("doc_id", prose.purpose_of(F.col("text")).alias("purpose"))
 
 
 @_query("q05_fans", """WITH e AS (SELECT DISTINCT l_suppkey AS src, l_partkey + 1000000 AS dst FROM lineitem), i AS (SELECT dst AS node, count(*) AS fan_in FROM e GROUP BY 1), o AS (SELECT src AS node, count(*) AS fan_out FROM e GROUP BY 1)
@@ -42,12 +77,15 @@ def _(t):
     return K.fans(K.distinct_edges(t("lineitem").withColumn("p", F.col("l_partkey") + 1000000), "l_suppkey", "p"))
 
 
-@_query("q06_weighted_score", """WITH s AS (SELECT l_suppkey AS node, count(DISTINCT l_partkey) AS fan_out, count(*) AS loc, max(l_linenumber) AS branches FROM lineitem GROUP BY 1),
-m AS (SELECT min(fan_out) AS a, max(fan_out) AS b, min(loc) AS c, max(loc) AS d, min(branches) AS e, max(branches) AS f FROM s)
-SELECT node, fan_out, round(0.0 + 0.45 * coalesce((branches - e)::DOUBLE / nullif(f - e, 0), 0.0) + 0.25 * coalesce((loc - c)::DOUBLE / nullif(d - c, 0), 0.0) + 0.3 * coalesce((fan_out - a)::DOUBLE / nullif(b - a, 0), 0.0), 6) AS score FROM s, m""")
+@_query("q06_weighted_score", """WITH s AS (SELECT l_suppkey AS node, count(DISTINCT l_partkey) AS fan_out, count(DISTINCT l_orderkey) AS fan_in, count(*) AS loc, count(*) FILTER (l_returnflag = 'R') - 0.5 * count(*) FILTER (l_discount > 0.08) AS branches, count(*) FILTER (l_linestatus = 'O') AS strings FROM lineitem GROUP BY 1),
+m AS (SELECT min(fan_out) AS a, max(fan_out) AS b, min(loc) AS c, max(loc) AS d, min(branches) AS e, max(branches) AS f, min(fan_in) AS g, max(fan_in) AS h FROM s)
+SELECT node, round((0.45 * coalesce((branches - e)::DOUBLE / nullif(f - e, 0), 0.0) + 0.25 * coalesce((loc - c)::DOUBLE / nullif(d - c, 0), 0.0) + 0.15 * coalesce((fan_in - g)::DOUBLE / nullif(h - g, 0), 0.0) + 0.15 * coalesce((fan_out - a)::DOUBLE / nullif(b - a, 0), 0.0))
+  * CASE WHEN loc < 4 OR strings < 3 THEN 1.0 WHEN strings >= 0.5 * loc THEN 0.65 ELSE 0.8 END * CASE WHEN node % 10 = 0 THEN 0.6 ELSE 1.0 END, 6)::DOUBLE AS score FROM s, m""")
 def _(t):
-    s = t("lineitem").groupBy(F.col("l_suppkey").alias("node")).agg(F.countDistinct("l_partkey").alias("fan_out"), F.count("*").alias("loc"), F.max("l_linenumber").alias("branches"))
-    return K.weighted_score(s, {"branches": 0.45, "loc": 0.25, "fan_out": 0.3}).select("node", "fan_out", F.round("score", 6).alias("score"))
+    name = F.when(F.col("node") % 10 == 0, "__init__").otherwise("run")
+    s = t("lineitem").groupBy(F.col("l_suppkey").alias("node")).agg(F.countDistinct("l_partkey").alias("fan_out"), F.countDistinct("l_orderkey").alias("fan_in"), F.count("*").alias("loc"), F.count_if(F.col("l_returnflag") == "R").alias("n_branches"), F.count_if(F.col("l_discount") > 0.08).alias("n_ternaries"), F.count_if(F.col("l_linestatus") == "O").alias("n_strings"))
+    s = K.weighted_score(s.withColumns({"name": name, "effective_branches": R.effective_branches()}), R.WEIGHTS)
+    return s.select("node", F.round(F.col("score") * R.presentation_factor() * R.constructor_factor(), 6).alias("score"))
 
 
 @_query("q07_budgeted_prefix", """SELECT o_custkey, o_orderkey FROM (SELECT *, sum(CAST(round(o_totalprice * 100) AS BIGINT)) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS r FROM orders) WHERE r <= 50000000""")
@@ -68,50 +106,60 @@ def _(t):
     return K.top_with_skip(t("part"), ["p_brand"], [F.desc("p_retailprice"), F.col("p_partkey")], 2, F.col("p_size") > 25).select("p_brand", "p_partkey", "place")
 
 
-_DAY = "l_shipdate >= TIMESTAMP '1996-03-01' AND l_shipdate < TIMESTAMP '1996-03-08'"
+_NEXT_ORDERS = """WITH RECURSIVE n AS (SELECT o_orderkey AS src, lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS dst FROM orders),
+d AS (SELECT o_orderkey AS src, lead(o_orderkey) OVER (PARTITION BY CAST(o_orderdate AS DATE) ORDER BY o_orderkey) AS dst FROM orders), """
 
 
-@_query("q10_bounded_reach", f"""WITH RECURSIVE g AS (SELECT DISTINCT l_suppkey AS a, l_partkey + 1000000 AS b FROM lineitem WHERE {_DAY}), e AS (SELECT a AS src, b AS dst FROM g UNION SELECT b, a FROM g),
-r(source, node, hops) AS (SELECT DISTINCT src, src, 0 FROM e WHERE src <= 5 UNION SELECT source, dst, hops + 1 FROM r JOIN e ON node = src WHERE hops < 4)
+def _next_orders(t, by: Column) -> DataFrame:
+    """From each order to the next of the same group."""
+    w = Window.partitionBy(by).orderBy("o_orderkey")
+    return t("orders").select(F.col("o_orderkey").alias("src"), F.lead("o_orderkey").over(w).alias("dst")).filter("dst IS NOT NULL")
+
+
+@_query("q10_bounded_reach", _NEXT_ORDERS + """e AS (SELECT * FROM n WHERE dst IS NOT NULL UNION SELECT * FROM d WHERE dst IS NOT NULL),
+r(source, node, hops) AS (SELECT o_orderkey, o_orderkey, 0 FROM orders UNION SELECT source, dst, hops + 1 FROM r JOIN e ON node = src WHERE hops < 6)
 SELECT source, node, min(hops)::INT AS hops FROM r GROUP BY 1, 2""")
 def _(t):
-    g = t("lineitem").filter(_DAY.replace("TIMESTAMP", "TIMESTAMP_NTZ")).select(F.col("l_suppkey").alias("src"), (F.col("l_partkey") + 1000000).alias("dst")).distinct()
-    e = g.union(g.select("dst", "src")).distinct()
-    return K.bounded_reach(e, e.filter("src <= 5").select(F.col("src").alias("node")).distinct(), 4)
+    e = _next_orders(t, F.col("o_custkey")).union(_next_orders(t, F.to_date("o_orderdate"))).distinct()
+    return K.bounded_reach(e, t("orders").select(F.col("o_orderkey").alias("node")), 6)
 
 
-# The reference's own depth, from every node, over all edges; SQL over the whole table is too slow, so tests hold it against brute force.
-@_query("q10_bounded_reach_whole")
+@_query("q11_least_hops", _NEXT_ORDERS + """r(node, hops) AS (SELECT o_orderkey, 0 FROM orders WHERE o_orderpriority < '3' UNION SELECT dst, hops + 1 FROM r JOIN n ON node = src WHERE dst IS NOT NULL)
+SELECT node, min(hops)::INT AS hops FROM r GROUP BY 1""")
 def _(t):
-    g = t("lineitem").select(F.col("l_suppkey").alias("src"), (F.col("l_partkey") + 1000000).alias("dst")).distinct()
-    return K.reach_all(g.union(g.select("dst", "src")), 6)
+    return K.least_hops(_next_orders(t, F.col("o_custkey")), t("orders").filter("o_orderpriority < '3'").select(F.col("o_orderkey").alias("node")))
 
 
 _ISLANDS = """WITH f AS (SELECT *, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) > 3600000000 THEN 1 ELSE 0 END AS new FROM events),
 i AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id)::BIGINT AS island FROM f)"""
 
 
-def _islanded(t):
-    at = F.unix_micros(F.col("ts").cast("timestamp"))
-    return K.islands(t("events").withColumn("us", at), ["user_id"], F.col("us"), [F.col("ts"), F.col("event_id")], 3_600_000_000)
+_GAP = 3_600_000_000
+
+
+def _island_rows(t) -> DataFrame:
+    """Runs of a user's events with at most an hour between neighbours, joined from cells of an hour."""
+    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    kinds = (F.collect_set("event_type"), F.size(F.array_distinct(F.flatten(F.collect_list("_kinds")))).cast("long"))
+    return K.island_summaries(t("events"), ["user_id"], us, _GAP, _GAP, {"n": (F.count("*"), F.sum("_n")), "kinds": kinds})
 
 
 @_query("q12_islands", _ISLANDS + " SELECT user_id, island, count(*) AS n, count(DISTINCT event_type) AS kinds FROM i GROUP BY 1, 2 HAVING count(*) >= 2")
 def _(t):
-    return _islanded(t).groupBy("user_id", "island").agg(F.count("*").alias("n"), F.countDistinct("event_type").alias("kinds")).filter("n >= 2")
+    return _island_rows(t).select("user_id", "island", "n", "kinds").filter("n >= 2")
 
 
 @_query("q12_distinct_islands", _ISLANDS + " SELECT user_id, island, count(*) AS n, count(DISTINCT event_type) AS kinds FROM i GROUP BY 1, 2 HAVING count(DISTINCT event_type) >= 3")
 def _(t):
-    return _islanded(t).groupBy("user_id", "island").agg(F.count("*").alias("n"), F.countDistinct("event_type").alias("kinds")).filter("kinds >= 3")
+    return _island_rows(t).select("user_id", "island", "n", "kinds").filter("kinds >= 3")
 
 
 @_query("q13_interval_join", _ISLANDS + """, s AS (SELECT user_id, min(epoch_us(ts)) - 600000000 AS b, max(epoch_us(ts)) + 600000000 AS e FROM i GROUP BY user_id, island)
 SELECT event_id, min(b) AS b FROM events JOIN s USING (user_id) WHERE epoch_us(ts) BETWEEN b AND e GROUP BY 1""")
 def _(t):
-    d = _islanded(t)
-    s = d.groupBy("user_id", "island").agg((F.min("us") - 600_000_000).alias("b"), (F.max("us") + 600_000_000).alias("e"))
-    return K.first_interval(d.select("event_id", "user_id", "us"), s, ["user_id"], "us", "b", "e").select("event_id", "b")
+    s = _island_rows(t).select("user_id", (F.col("begin") - 600_000_000).alias("b"), (F.col("end") + 600_000_000).alias("e"))
+    points = t("events").select("event_id", "user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
+    return K.first_interval(points, s, ["user_id"], "us", "b", "e").select("event_id", "b")
 
 
 _PATH = "regexp_extract(url, '^[^:]*://([^?#]*)', 1)"
@@ -133,10 +181,16 @@ def _(t):
     return K.shortest_unique_suffix(t("pages").select(F.regexp_extract("url", r"^[^:]*://([^?#]*)", 1).alias("path")), "path")
 
 
-@_query("q16_greedy_cover")
+def _greedy_sql(rounds: int) -> str:
+    parts = ["l0 AS (SELECT DISTINCT l_suppkey AS k, l_partkey AS i FROM lineitem)"]
+    for r in range(rounds):
+        parts += [f"p{r} AS (SELECT {r} AS place, k, count(*) AS gain FROM l{r} GROUP BY k ORDER BY gain DESC, k LIMIT 1)", f"l{r + 1} AS (SELECT * FROM l{r} WHERE i NOT IN (SELECT i FROM l{r} WHERE k IN (SELECT k FROM p{r})))"]
+    return "WITH " + ", ".join(parts) + " SELECT place, k AS l_suppkey, gain FROM (" + " UNION ALL ".join(f"SELECT * FROM p{r}" for r in range(rounds)) + ")"
+
+
+@_query("q16_greedy_cover", _greedy_sql(4))
 def _(t):
-    d = t("lineitem")
-    return d.sparkSession.createDataFrame(K.greedy_cover(d, "l_suppkey", "l_partkey", 4), "l_suppkey bigint, gain bigint")
+    return K.greedy_cover(t("lineitem"), "l_suppkey", "l_partkey", 4)
 
 
 @_query("q17_subset", """SELECT DISTINCT l_suppkey FROM lineitem WHERE l_suppkey NOT IN (SELECT l_suppkey FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_brand NOT IN (SELECT p_brand FROM part WHERE p_size <= 45))""")
@@ -153,18 +207,22 @@ def _(t):
     return w.join(F.broadcast(top), "word", "left").groupBy(F.when(F.col("top"), F.col("word")).otherwise("more").alias("word")).agg(F.sum("n").alias("n"))
 
 
-_REASON = "CASE WHEN length(trim(text)) = 0 THEN 'empty' WHEN length(text) > 900 THEN 'too long' WHEN length(text) < 60 THEN 'too short' WHEN lower(text) LIKE '%loop%' THEN 'invented a loop' WHEN lower(text) LIKE '% if %' THEN 'invented a branch' ELSE 'kept' END"
+_REASON = f"""CASE WHEN length(kept) = 0 THEN 'empty' WHEN length(kept) > 90 THEN 'too long' WHEN len(regexp_extract_all(kept, '[^ \\t\\n\\r\\f\\v]+')) < 3 OR length(kept) < 25 THEN 'too short'
+WHEN turn % 2 = 0 AND regexp_matches(lower(kept), '{notes.LOOP_WORDS}') THEN 'invented a loop' WHEN conv_id % 2 = 0 AND regexp_matches(lower(kept), '{notes.BRANCH_WORDS}') THEN 'invented a branch' ELSE 'kept' END"""
+_KEPT = "CASE WHEN length(text) <= 90 THEN text ELSE coalesce(list_aggregate([array_to_string(list_slice(cs, 1, n), ', ') for n in range(1, len(cs) + 1) if length(array_to_string(list_slice(cs, 1, n), ', ')) <= 90], 'last'), '') END"
 
 
-@_query("q19_reasons", f"SELECT {_REASON} AS reason, count(*) AS n FROM conversations WHERE role = 'assistant' GROUP BY 1")
+@_query("q19_reasons", f"WITH c AS (SELECT *, string_split(text, ', ') AS cs FROM conversations), k AS (SELECT *, {_KEPT} AS kept FROM c) SELECT {_REASON} AS reason, count(*) AS n FROM k GROUP BY 1")
 def _(t):
-    return t("conversations").filter("role = 'assistant'").groupBy(F.expr(_REASON).alias("reason")).agg(F.count("*").alias("n"))
+    why = notes.rejection(F.col("text"), F.col("turn") % 2, F.col("conv_id") % 2)
+    return t("conversations").groupBy(F.coalesce(why, F.lit("kept")).alias("reason")).agg(F.count("*").alias("n"))
 
 
 @_query("q20_semi_anti", "SELECT c_custkey, c_custkey IN (SELECT o_custkey FROM orders) AS has_orders FROM customer")
 def _(t):
-    c, o = t("customer"), t("orders").select(F.col("o_custkey").alias("c_custkey"))
-    return c.join(o, "c_custkey", "left_semi").select("c_custkey", F.lit(True).alias("has_orders")).union(c.join(o, "c_custkey", "left_anti").select("c_custkey", F.lit(False).alias("has_orders")))
+    """Both halves in one left join with the distinct keys."""
+    o = t("orders").select(F.col("o_custkey").alias("c_custkey"), F.lit(True).alias("has")).distinct()
+    return t("customer").select("c_custkey").join(o, "c_custkey", "left").select("c_custkey", F.col("has").isNotNull().alias("has_orders"))
 
 
 @_query("q21_profile", "SELECT lang, count(*) AS n, median(n_chars) AS mid, round(100.0 * sum(CASE WHEN n_chars > 2000 THEN 1 ELSE 0 END) / count(*), 6)::DOUBLE AS long_percent FROM documents GROUP BY 1")
@@ -189,6 +247,12 @@ def _(t):
     return t("documents").select("doc_id", F.substring(F.sha2(F.concat(F.lit("m:"), F.col("doc_id").cast("string"), F.lit(":"), F.col("text")), 256), 1, 24).alias("key"))
 
 
+@_query("q25_levels", "WITH RECURSIVE r(node, level) AS (SELECT p_partkey, 0 FROM part WHERE p_partkey // 3 = p_partkey OR p_partkey // 3 NOT IN (SELECT p_partkey FROM part) UNION ALL SELECT p_partkey, level + 1 FROM part JOIN r ON node = p_partkey // 3 AND node != p_partkey) SELECT node, level FROM r")
+def _(t):
+    p = t("part").select(F.col("p_partkey").alias("node"))
+    return K.topological_levels(p, p.select("node", F.expr("node div 3").alias("need")))
+
+
 @_query("q26_last_two", "SELECT page_id, array_to_string(list_slice(string_split(regexp_extract(url, '^[^:]*://([^/?#]*)', 1), '.'), -2, -1), '.') AS tail FROM pages")
 def _(t):
     return t("pages").select("page_id", F.substring_index(F.regexp_extract("url", r"^[^:]*://([^/?#]*)", 1), ".", -2).alias("tail"))
