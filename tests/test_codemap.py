@@ -42,9 +42,11 @@ def test_budgets_and_cuts(many):
     p = {r["tree"]: r for r in many.planned(max_lines=40).collect()}
     assert all(b["lines"] <= 40 for r in p.values() for b in r["blocks"] if not b["spanning"])
     few = {r["tree"]: r for r in many.planned(max_lines=6).collect()}
-    assert [b["lines"] for b in few["wide"]["blocks"]] == [6] and few["wide"]["rows"][-1]["label"] == "… 26 more"
+    assert [b["lines"] for b in few["wide"]["blocks"]] == [6] and few["wide"]["rows"][-1]["label"] == "… 28 more"
     assert p["empty"]["markdown"] == "# nothing.py\n\n```\n(nothing to show)\n```\n"
-    assert p["twins"]["strategy"] == "single" and p["bases"]["strategy"] == "single"
+    assert p["bases"]["strategy"] == "single"
+    # three modules have functions; the tests are counted, not shown
+    assert p["twins"]["strategy"] == "module" and [b["title"] for b in p["twins"]["blocks"]] == ["twins/app.py", "sub/app.py"] and p["twins"]["omitted_tests"] == 1
 
 
 def test_flow_across_modules(many):
@@ -71,7 +73,7 @@ def test_state(many):
     r = many.planned(state=True).filter("tree = 'bases'").first()
     state = json.loads(r["state"])
     assert set(state["modules"]) == {"a", "b"} and {f["qualname"] for f in state["modules"]["b"]["funcs"]} == {"Far.one", "Far.two", "Far.three"}
-    assert r["stats"] == "2 modules, 5 functions, 1 blocks, strategy=single, type=inferred"
+    assert r["stats"] == "2 modules, 6 functions, 1 blocks, strategy=single, type=inferred"
 
 
 # ---- notes ------------------------------------------------------------------------------------------------------------------
@@ -146,7 +148,7 @@ def test_models():
 def test_notes_hang_under_their_rows(many):
     made, report = notes.annotate(many, lambda s, shape, most: GOOD, "m", 3, most_source=10**6)
     assert report.filled == 0  # these files are on no disk
-    one = many.sources.sparkSession.createDataFrame([("twins", "app::g", GOOD)], "tree string, node_id string, note string")
+    one = many.sources.sparkSession.createDataFrame([("twins", "app::f", GOOD)], "tree string, node_id string, note string")
     text = many.with_notes(one).planned().filter("tree = 'twins'").first()["markdown"]
     assert GOOD in text
 
