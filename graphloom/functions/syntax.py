@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import ast
 import warnings
+from collections import Counter
 from collections.abc import Iterable, Iterator
 
 from .prose import first_sentence, header_comment, module_purpose
@@ -17,6 +18,8 @@ from .prose import first_sentence, header_comment, module_purpose
 _FUNCTIONS = (ast.FunctionDef, ast.AsyncFunctionDef)
 _LOOPS = (ast.For, ast.AsyncFor, ast.While, ast.comprehension)
 _BRANCHES = (*_LOOPS, ast.If, ast.IfExp, ast.Try, ast.ExceptHandler)
+#: Nodes without children.
+_BARE = frozenset(k for base in (ast.expr_context, ast.operator, ast.unaryop, ast.cmpop, ast.boolop) for k in base.__subclasses__()) | {ast.Name, ast.Pass, ast.Break, ast.Continue, ast.Global, ast.Nonlocal, ast.alias}
 _ENUMS = {"Enum", "IntEnum", "StrEnum", "Flag", "IntFlag"}
 _KIND_OF_BASE = {"NamedTuple": "namedtuple", "TypedDict": "typeddict", "Protocol": "protocol", "ABC": "protocol"} | dict.fromkeys(_ENUMS, "enum")
 
@@ -107,23 +110,36 @@ def is_prose(node: ast.AST) -> bool:
 
 def measure(body: Iterable[ast.stmt]) -> dict:
     """Counts over a body, nested definitions included, the keys of dict literals it returns, and its calls by line."""
-    out = {"n_stmts": 0, "n_branches": 0, "n_loops": 0, "n_ternaries": 0, "n_strings": 0}
+    met: Counter = Counter()
+    strings = 0
     keys: dict[str, None] = {}
     calls = []
     for top in body:
-        for node in ast.walk(top):
-            out["n_stmts"] += isinstance(node, ast.stmt)
-            out["n_branches"] += isinstance(node, _BRANCHES)
-            out["n_loops"] += isinstance(node, _LOOPS)
-            out["n_ternaries"] += isinstance(node, ast.IfExp)
-            out["n_strings"] += is_prose(node)
-            if isinstance(node, ast.Return) and isinstance(node.value, ast.Dict):
-                keys.update((k.value, None) for k in node.value.keys if isinstance(k, ast.Constant) and isinstance(k.value, str))
-            if isinstance(node, ast.Call):
+        level = [top]
+        for node in level:  # grows while it is walked: by level, as calls of one line are ordered
+            kind = type(node)
+            met[kind] += 1
+            if kind in _BARE:
+                continue
+            if kind is ast.Constant:
+                strings += type(node.value) is str and " " in node.value.strip()
+                continue
+            if kind is ast.Call:
                 root, attr, dotted = chain(node.func)
                 calls.append({"dotted": dotted, "root": root, "attr": attr, "lineno": node.lineno})
-    calls.sort(key=lambda c: c["lineno"])  # the walk goes by level; ties keep its order
-    return out | {"returns_keys": list(keys), "calls": calls}
+            elif kind is ast.JoinedStr:
+                strings += 1
+            elif kind is ast.Return and type(node.value) is ast.Dict:
+                keys.update((k.value, None) for k in node.value.keys if isinstance(k, ast.Constant) and isinstance(k.value, str))
+            for name in node._fields:
+                value = getattr(node, name, None)
+                if type(value) is list:
+                    level += [x for x in value if isinstance(x, ast.AST)]
+                elif isinstance(value, ast.AST):
+                    level.append(value)
+    calls.sort(key=lambda c: c["lineno"])
+    total = lambda kinds: sum(n for k, n in met.items() if issubclass(k, kinds))
+    return {"n_stmts": total(ast.stmt), "n_branches": total(_BRANCHES), "n_loops": total(_LOOPS), "n_ternaries": met[ast.IfExp], "n_strings": strings, "returns_keys": list(keys), "calls": calls}
 
 
 def decorator_names(node: ast.AST) -> list[str]:

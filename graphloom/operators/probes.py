@@ -212,3 +212,80 @@ def tree_text(row: Row, marked: set[str], depth: int = 0) -> list[str]:
         out.append(f"{'>>' if r.label in marked else '  '} {'    ' * depth}{r.label}{bracket}")
         out += tree_text(r, marked, depth + 1)
     return out
+
+
+# ---- asking a model about runs ------------------------------------------------------------------------------------------------
+
+NAME_RUN = """These lines are consecutive calls in the Python function `{function}` of {module}, lines {start} to {last}, with their surroundings:
+
+```python
+{source}
+```
+
+Give the run a heading of at most five words, as one would comment a block. If it is the function's actual work, not its
+preparation, bookkeeping, logging or cleaning up, say NONE."""
+
+KEEP_RUN = """In the function below, lines {start} to {last} would be replaced by the heading "{label}" in a summary.
+
+```python
+{source}
+```
+
+Say KEEP if they are one phase of several and the heading names it, DROP if they are what the function is for. One word."""
+
+KEEP_ROWS = """A map shows the function `{function}` by these rows; those marked >> would be replaced by one row, "{label}":
+
+{tree}
+
+Say KEEP if a reader still learns what the function does, DROP if something needed is hidden. One word."""
+
+
+def excerpt(path: str, start: int, last: int, pad: int = 2) -> str:
+    """Lines of a file with ``pad`` lines around; nothing of a file that can't be read."""
+    try:
+        lines = Path(path).read_text(errors="replace").splitlines()
+    except OSError:
+        return ""
+    return "\n".join(lines[max(start - pad - 1, 0) : last + pad])
+
+
+def whole_function(path: str, lineno: int, end_lineno: int, most: int = 6000) -> str:
+    return excerpt(path, lineno, end_lineno, 0)[:most]
+
+
+def function_tree(project, function, labels: set[str], lines: int = 60) -> str:
+    """The rows under a function, three levels deep, those of ``labels`` marked."""
+    from graphloom.plans.tree import Grower
+
+    row = Grower(project, depth_cap=3).grow(function)
+    return "\n".join([f"   {function.qualname}({', '.join(function.args[:3])})", *tree_text(row, labels)[:lines]])
+
+
+def reply_line(raw: str | None) -> str:
+    text = (raw or "").strip()
+    return text.splitlines()[0].strip().strip("\"'`").rstrip(".") if text else ""
+
+
+def collect(code_map, calibrate: bool = False) -> DataFrame:
+    """Runs to ask about: those that no author named, or to calibrate by, those that one did."""
+    named = F.col("author").isNotNull()
+    return named_runs(code_map).filter(named if calibrate else ~named)
+
+
+def ask_runs(runs: list[dict], ask: Callable[[str], str | None], two_stage: bool = False, source: Callable = excerpt) -> list[dict]:
+    """Each run (a row of ``collect`` with its function's path) with the model's heading, null where it declines, and the verdict on it.
+
+    Errors of the model are the answer of their run. With ``two_stage`` a heading that gets DROP counts as declined."""
+    out = []
+    for r in runs:
+        facts = {"function": r["caller"], "module": r["module"], "start": r["start"], "last": r["last"]}
+        try:
+            label = reply_line(ask(NAME_RUN.format(**facts, source=source(r["path"], r["start"], r["last"]))))
+            declined = not label or label.upper() == "NONE"
+            verdict = None
+            if two_stage and not declined:
+                verdict = reply_line(ask(KEEP_RUN.format(start=r["start"], last=r["last"], label=label, source=source(r["path"], r["start"], r["last"])))).upper()[:4]
+            out.append(r | {"label": None if declined or verdict == "DROP" else label, "verdict": verdict, "error": None})
+        except (OSError, ValueError) as e:
+            out.append(r | {"label": None, "verdict": None, "error": str(e)})
+    return out

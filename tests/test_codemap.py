@@ -176,3 +176,28 @@ def test_command_line(spark, tmp_path, capsys):
 def test_constants():
     assert (tree.REACH_DEPTH, tree.MAX_BLOCKS, tree.SPLIT_MODULES, ranking.REACH_DEPTH) == (6, 8, 3, 6) and (page.BRACKET_COLUMN, page.WIDTH, page.BULLETS, page.PACKAGES) == (44, 78, 10, 3)
     assert len(resolution.NOISE) == 8 and len(resolution.PLUMBING) == 13 and ranking.WEIGHTS == {"effective_branches": 0.45, "loc": 0.25, "fan_in": 0.15, "fan_out": 0.15}
+
+
+# ---- asking about runs ------------------------------------------------------------------------------------------------------------
+
+
+def test_runs_are_asked_about(spark):
+    from graphloom.operators import probes
+
+    m = mapqueries.fixture_map(spark)
+    assert probes.collect(m).count() == 0
+    runs = [r.asDict() | {"path": "x"} for r in probes.collect(m, True).orderBy("start").collect()]
+    answers = iter(["Collect the files.\nmore", "KEEP", "none", TimeoutError("late")])
+
+    def ask(prompt):
+        x = next(answers)
+        if isinstance(x, Exception):
+            raise x
+        return x
+
+    got = probes.ask_runs([*runs, runs[0]], ask, True, source=lambda *a: "code")
+    assert [(r["label"], r["verdict"], r["error"]) for r in got] == [("Collect the files", "KEEP", None), (None, None, None), (None, None, "late")]
+    project = project_of([r.asDict(True) for r in m.module_rows.filter("tree = 'logs'").collect()], [r.asDict(True) for r in m.function_rows.filter("tree = 'logs'").collect()])
+    text = probes.function_tree(project, project.functions["weblog::main"], {"report"})
+    assert text.splitlines()[:3] == ["   main()", ">> report", "       … _nice"]
+    assert probes.excerpt("/nowhere", 1, 2) == "" and probes.profile_table([{"tree": "t", **dict.fromkeys("mod fn meth mdoc unres deco brmed locmed ban doclic lenum".split(), 1.0)}]).count("\n") == 1
