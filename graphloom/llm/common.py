@@ -54,6 +54,14 @@ def forget_path(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Has the driver collect what it no longer refers to, upon which Spark deletes the shuffle files of plans that are done.
+
+    Between the steps of an operator, after a written table ends a lineage; else they would stay until memory runs short.
+    """
+    spark._jvm.System.gc()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -391,9 +391,11 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     long_ = long_lists(members)
     near = C.written(search(members, long_ if long_.count() else None, False), "nearest")
     ends = C.written(near.select(F.col("a").alias("node")).union(near.select(F.col("b").alias("node"))).distinct(), "ends")
+    C.release(docs.sparkSession)
     own = items.join(ends, "node", "left_semi").drop("label")
     sets = C.written(shingle_sets(docs, own, text), "sets")
     first = C.written(verified(near.filter("a > b"), sets), "links")
+    C.release(docs.sparkSession)
     labels = components(first)
     again = own.join(labels, "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root")
     members = listed(again, depth, repetitions)
@@ -405,6 +407,7 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     stands = named.groupBy("root").agg(F.min(F.struct("least_id", "text_key")).alias("x")).select("root", F.col("x.least_id").alias("class_id"), F.col("x.text_key").alias("class_key"))
     found = C.written(named.join(stands, "root").select("text_key", "copies", "class_id", "class_key"), "classes")
     C.forget(texts, long_, near, ends, sets, first, longer, cross, second)
+    C.release(docs.sparkSession)
     out = p.join(found, "text_key", "left")
     keep = F.coalesce((F.col("doc_id") == F.col("class_id")) & (F.col("text_key") == F.col("class_key")), F.col("class_id").isNull())
     return out.select("doc_id", "text_key", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("copies", F.lit(1)).alias("copies"), keep.alias("keep"))

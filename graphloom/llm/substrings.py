@@ -401,10 +401,12 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", as_text: boo
     stands = marked.filter("doc_id = least").select("doc_id", "source_key", "times")
     unique = d.join(stands.select("doc_id", "source_key"), ["doc_id", "source_key"], "left_semi").dropDuplicates(["doc_id", "source_key"])
     blocked = blocks(unique)
+    C.release(spark)
     n = blocked.select("block").count()
     buckets = min(MOST_BUCKETS, 1 << max(4, (max(n, 1) // 2).bit_length()))
     root = C.new_path(spark, "repeats")
     repeated(blocked, buckets, root)
+    C.release(spark)
     cuts(contexts(blocked, buckets, root), buckets, root)
     others = marked.withColumn("again", F.coalesce(F.col("doc_id") == F.col("least"), F.lit(False))).filter("NOT again OR times > 1")
     return _kept(blocked, root, as_text), others.select("doc_id", "source_key", "least", "again", "times")
