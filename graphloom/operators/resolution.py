@@ -131,8 +131,35 @@ def class_bases(parsed: DataFrame, owned: DataFrame) -> DataFrame:
     return b.select("tree", "module", "name", "at", base.alias("base_module"), F.col("tail").alias("base_name")).filter("base_module IS NOT NULL")
 
 
+def _ancestors_of_tree(asked: pa.Table, bases: pa.Table) -> pa.Table:
+    """``ancestors`` of one tree, in memory: a queue for every asked class."""
+    above: dict[tuple, list[tuple]] = {}
+    for b in sorted(bases.to_pylist(), key=lambda b: b["at"]):
+        above.setdefault((b["module"], b["name"]), []).append((b["base_module"], b["base_name"]))
+    out: list[tuple] = []
+    for a in asked.to_pylist():
+        queue = [(a["module"], a["cls"])]
+        seen = set(queue)
+        for at in queue:  # grows while it is walked
+            for b in above.get(at, ()):
+                if b not in seen:
+                    seen.add(b)
+                    queue.append(b)
+        out += [(a["tree"], a["module"], a["cls"], m, n, k) for k, (m, n) in enumerate(queue)]
+    names = ("tree", "module", "cls", "anc_module", "anc_name", "rank")
+    kinds = (*[pa.string()] * 5, pa.int32())
+    return pa.table({n: pa.array([r[k] for r in out], t) for k, (n, t) in enumerate(zip(names, kinds))})
+
+
 def ancestors(asked: DataFrame, bases: DataFrame) -> DataFrame:
-    """(tree, module, cls, anc_module, anc_name, rank): each asked class (tree, module, cls) and its ancestors, breadth first.
+    """(tree, module, cls, anc_module, anc_name, rank): each asked class (tree, module, cls) and its ancestors, breadth first by
+    rank, each once; cycles end where they close. One worker holds a tree's class bases."""
+    named = bases.select(*[F.col(c).alias(c) for c in bases.columns])  # both may come from one table; its columns mustn't be mixed up
+    return asked.groupBy("tree").cogroup(named.groupBy("tree")).applyInArrow(_ancestors_of_tree, "tree string, module string, cls string, anc_module string, anc_name string, rank int")
+
+
+def wide_ancestors(asked: DataFrame, bases: DataFrame) -> DataFrame:
+    """``ancestors`` by rounds of joins, for trees whose class bases don't fit a worker.
 
     ``rank`` is the path of base places by which an ancestor is met first, so it orders them as a queue would; shorter
     paths come first. Cycles end where they close. Rounds are as many as the deepest hierarchy.
@@ -177,7 +204,7 @@ def resolve_calls(parsed: DataFrame) -> DataFrame:
     line = ancestors(asked.select("tree", "module", "cls").distinct(), class_bases(parsed, owned))
     methods = fs.filter("cls IS NOT NULL").select("tree", F.col("module").alias("anc_module"), F.col("cls").alias("anc_name"), F.col("name").alias("attr"), "node_id")
     met = asked.join(line, ["tree", "module", "cls"]).join(methods, ["tree", "anc_module", "anc_name", "attr"])
-    met = met.groupBy("tree", "module", "cls", "attr").agg(F.min_by("node_id", F.struct(F.size("rank"), "rank")).alias("method"))
+    met = met.groupBy("tree", "module", "cls", "attr").agg(F.min_by("node_id", "rank").alias("method"))
     c = c.join(fs.select("tree", F.col("module").alias("place"), F.col("qualname").alias("by_name"), F.col("node_id").alias("function")), ["tree", "place", "by_name"], "left")
     c = c.join(met.select("tree", F.col("module").alias("place"), F.col("cls").alias("by_class"), "attr", "method"), ["tree", "place", "by_class", "attr"], "left")
     known = classes(parsed).select("tree", F.col("module").alias("place"), F.col("name").alias("made"), F.lit(True).alias("is_class")).distinct()

@@ -38,6 +38,24 @@ def test_bases_and_names(many):
     assert many.edges.filter("tree = 'bases' AND src = dst").count() == 0
 
 
+def test_ancestors_by_rounds_agree(spark, many):
+    """Two ways to the same ancestors in the same order, over random hierarchies with cycles and several trees."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    rng = random.Random(2)
+    bases = [(f"t{rng.randint(0, 1)}", "m", f"C{rng.randint(0, 14)}", k, "m", f"C{rng.randint(0, 14)}") for k in range(40)]
+    b = spark.createDataFrame(bases, "tree string, module string, name string, at int, base_module string, base_name string")
+    asked = spark.createDataFrame([(t, "m", f"C{k}") for t in ("t0", "t1", "t2") for k in range(15)], "tree string, module string, cls string")
+    one = {(r["tree"], r["cls"], r["anc_name"]): r["rank"] for r in resolution.ancestors(asked, b).collect()}
+    wide = {(r["tree"], r["cls"], r["anc_name"]): (len(r["rank"]), r["rank"]) for r in resolution.wide_ancestors(asked, b).collect()}
+    assert one.keys() == wide.keys()
+    for key in {k[:2] for k in one}:
+        mine = [k for k in one if k[:2] == key]
+        assert sorted(mine, key=one.get) == sorted(mine, key=wide.get)
+
+
 def test_budgets_and_cuts(many):
     p = {r["tree"]: r for r in many.planned(max_lines=40).collect()}
     assert all(b["lines"] <= 40 for r in p.values() for b in r["blocks"] if not b["spanning"])
