@@ -12,7 +12,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Any of these makes a text a licence notice rather than a purpose.
-LICENCE_MARKERS = ("copyright", "©", "spdx-license-identifier", "all rights reserved", "licensed under", "this program is free software", "permission is hereby granted", "redistribution and use in source")
+LICENCE_MARKERS = tuple("©|all rights reserved|copyright|licensed under|permission is hereby granted|redistribution and use in source|spdx-license-identifier|this program is free software".split("|"))
 
 _TITLE_MARKS = "=-`:'\"~^_*+#<>"
 _RULE_MARKS = frozenset("=-*_~+#")

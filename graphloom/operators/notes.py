@@ -26,7 +26,7 @@ LIMIT, TIMEOUT, OVERSAMPLE, FAILURES = 12, 300.0, 2, 3
 MOST_CHARS, LEAST_CHARS, LEAST_WORDS, SOURCE_CHARS = 90, 25, 3, 6000
 LEAST_LOC, LEAST_LOOPS, LEAST_BRANCHES = 5, 1, 2
 #: Families of models, the first that is there is taken.
-FAMILIES = ("qwen2.5-coder", "qwen3-coder", "deepseek-coder", "codegemma", "codellama", "starcoder2", "granite-code", "qwen3.6")
+FAMILIES = tuple("qwen2.5-coder qwen3-coder deepseek-coder codegemma codellama starcoder2 granite-code qwen3.6".split())
 
 PROMPT = """In one line of fewer than {limit} characters, say how control flows through this Python function.
 

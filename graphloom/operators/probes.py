@@ -23,9 +23,9 @@ from graphloom.plans.tree import Row
 from graphloom.sources.trees import read_text
 
 GAP, RUN_LINES, FUNCTION_LINES, LABEL_CHARS = 3, 3, 30, 52
-_PRAGMAS = ("noqa", "type:", "pragma:", "pylint:", "mypy:", "fmt:", "ruff:")
-_ASIDES = ("xxx", "todo", "fixme", "hack", "note:", "nb:", "reference", "see http", "see:", "--", "http://", "https://")
-STOPWORDS = ("the", "a", "an", "and", "for", "of", "to", "up", "with", "in", "value")
+_PRAGMAS = tuple("fmt: mypy: noqa pragma: pylint: ruff: type:".split())
+_ASIDES = tuple("--|fixme|hack|http://|https://|nb:|note:|reference|see http|see:|todo|xxx".split("|"))
+STOPWORDS = tuple("a an and for in of the to up value with".split())
 _ENUMS = {"Enum", "IntEnum", "StrEnum", "Flag", "IntFlag"}
 
 

@@ -18,7 +18,7 @@ from graphloom.operators import kernels as K
 #: Decorators by which a framework calls a function, and those that make it no way in.
 ENTRY_DECORATORS = "route get post put patch delete command group task callback main handler entry_point".split()
 INNER_DECORATORS = "fixture property cached_property setter deleter".split()
-WIRING = ("__init__", "__new__", "__post_init__", "__repr__", "__str__", "__eq__")
+WIRING = tuple(f"__{n}__" for n in "eq init new post_init repr str".split())
 WEIGHTS = {"effective_branches": 0.45, "loc": 0.25, "fan_in": 0.15, "fan_out": 0.15}
 TRIVIAL_LOC, TRIVIAL_BRANCHES, SPINE = 8, 2, 3
 #: Tiers from this one on are read off the graph and count as one; depth to which reach is counted.

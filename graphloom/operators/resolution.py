@@ -34,8 +34,8 @@ PARSED = f"tree string, path string, module string, module_ordinal int, is_packa
 STDLIB = frozenset(sys.stdlib_module_names)
 BUILTINS = frozenset(dir(builtins))
 #: Calls that say too little to be shown: into these modules, or these path helpers however they are imported.
-NOISE = ("logging", "typing", "warnings", "__future__", "itertools", "functools", "operator", "gettext")
-PLUMBING = (*(f"os.path.{n}" for n in ("join", "basename", "dirname", "split", "splitext", "abspath", "normpath", "realpath", "relpath", "expanduser", "expandvars", "isabs")), "os.fspath")
+NOISE = tuple("__future__ functools gettext itertools logging operator typing warnings".split())
+PLUMBING = (*(f"os.path.{n}" for n in "abspath basename dirname expanduser expandvars isabs join normpath realpath relpath split splitext".split()), "os.fspath")
 
 
 # ---- parse ------------------------------------------------------------------------------------------------------------------
