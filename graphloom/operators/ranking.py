@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.operators import kernels as K
+from graphloom.operators.store import written
 
 #: Decorators by which a framework calls a function, and those that make it no way in.
 ENTRY_DECORATORS = "route get post put patch delete command group task callback main handler entry_point".split()
@@ -131,7 +132,7 @@ def annotate(functions: DataFrame, edges: DataFrame, declared: DataFrame, guarde
     least third by score, branchless ones skim; the spine is the first of two leading ways in that isn't trivial and the best
     reachable ones, three in all, none of which but the first two may be branchless.
     """
-    f = with_fans(functions, edges)
+    f = written(with_fans(functions, edges), "fans")  # read for the ways in and again for the rest
     ways = ways_in(f, declared, guarded)
     found = walks(edges, ways)
     f = f.join(ways, ["tree", "node_id"], "left").join(found, ["tree", "node_id"], "left")

@@ -10,6 +10,7 @@ last file of a name); empty tables give empty tables.
 from __future__ import annotations
 
 import builtins
+import gc
 import sys
 from collections.abc import Iterator
 from pathlib import Path
@@ -50,6 +51,8 @@ def parse(sources: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, 32):
+                gc.collect()
+                gc.disable()  # syntax trees hold no cycles, and looking for some takes a third of the time
                 rows = []
                 for r in batch.slice(i, 32).to_pylist():
                     try:
@@ -58,7 +61,9 @@ def parse(sources: DataFrame) -> DataFrame:
                     except OSError as e:
                         found = empty_module() | {"parse_error": str(e)}
                     rows.append({c: r[c] for c in carried} | found)
-                yield pa.RecordBatch.from_pylist(rows, schema)
+                made = pa.RecordBatch.from_pylist(rows, schema)
+                gc.enable()
+                yield made
 
     return written(sources.select(*carried, "content").mapInArrow(run, PARSED), "parsed")
 
@@ -198,8 +203,10 @@ def resolve_calls(parsed: DataFrame) -> DataFrame:
     by_name = F.when(own_method, None).when(whole, F.col("attr")).when(ours & bare, part).when(local & bare, F.col("root"))
     by_class = F.when(own_method, F.col("cls")).when(whole, None).when(ours & ~bare, part).when(local & ~bare, F.col("root"))
     made = F.when(own_method, None).when(whole, F.col("attr")).when(ours, part).when(local & bare, F.col("root"))
-    c = c.withColumns({"place": place, "by_name": by_name, "by_class": by_class, "made": made})
-    fs = functions(parsed).select("tree", "module", "qualname", "cls", "name", "node_id")
+    c = c.withColumns({"place": place, "by_name": by_name, "by_class": by_class, "made": made, "ours": ours}).drop("owner")
+    c = written(c, "places")
+    # names alone, written, so that their real size decides how they are joined
+    fs = written(functions(parsed).select("tree", "module", "qualname", "cls", "name", "node_id"), "names")
     asked = c.filter("by_class IS NOT NULL").select("tree", F.col("place").alias("module"), F.col("by_class").alias("cls"), "attr").distinct()
     line = ancestors(asked.select("tree", "module", "cls").distinct(), class_bases(parsed, owned))
     methods = fs.filter("cls IS NOT NULL").select("tree", F.col("module").alias("anc_module"), F.col("cls").alias("anc_name"), F.col("name").alias("attr"), "node_id")
@@ -207,10 +214,10 @@ def resolve_calls(parsed: DataFrame) -> DataFrame:
     met = met.groupBy("tree", "module", "cls", "attr").agg(F.min_by("node_id", "rank").alias("method"))
     c = c.join(fs.select("tree", F.col("module").alias("place"), F.col("qualname").alias("by_name"), F.col("node_id").alias("function")), ["tree", "place", "by_name"], "left")
     c = c.join(met.select("tree", F.col("module").alias("place"), F.col("cls").alias("by_class"), "attr", "method"), ["tree", "place", "by_class", "attr"], "left")
-    known = classes(parsed).select("tree", F.col("module").alias("place"), F.col("name").alias("made"), F.lit(True).alias("is_class")).distinct()
+    known = written(classes(parsed).select("tree", F.col("module").alias("place"), F.col("name").alias("made"), F.lit(True).alias("is_class")).distinct(), "classes")
     c = c.join(known, ["tree", "place", "made"], "left")
     target = F.coalesce("function", "method")
-    outside = ~own_method & F.col("origin").isNotNull() & ~ours & ~is_plumbing(F.col("origin"), F.col("dotted"), F.col("root"))
+    outside = ~own_method & F.col("origin").isNotNull() & ~F.col("ours") & ~is_plumbing(F.col("origin"), F.col("dotted"), F.col("root"))
     kind = F.when(target.isNotNull() | F.col("is_class"), "project").when(outside, "external").otherwise("unresolved")
     label = F.when(target.isNotNull(), None).when(F.col("is_class"), F.col("made")).when(outside, F.substring_index("origin", ".", 1))
     columns = ["tree", "module", "caller", "cls", "call_ordinal", "dotted", "root", "attr", "lineno"]

@@ -6,6 +6,7 @@ built when they are first asked for.
 
 from __future__ import annotations
 
+import gc
 from functools import cached_property
 from pathlib import Path
 
@@ -120,7 +121,9 @@ class CodeMap:
         schema = to_arrow_schema(self.sources.sparkSession.createDataFrame([], PLANNED).schema)
 
         def run(left: pa.Table, right: pa.Table) -> pa.Table:
+            gc.disable()  # millions of small records without cycles
             project = project_of(left.to_pylist(), right.to_pylist())
+            gc.enable()
             p = tree.plan(project, max_lines, kind)
             out = {
                 "tree": (left if left.num_rows else right).column("tree")[0].as_py(),
