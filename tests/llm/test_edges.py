@@ -131,7 +131,7 @@ def test_substrings(spark, odd, none):
     assert cut(none) == []
 
 
-@pytest.mark.parametrize("block, hot", [(4_000_000, 256), (3000, 256), (3000, 2), (1, 2)])
+@pytest.mark.parametrize("block, hot", [(3000, 256), (3000, 2), (1, 2)])
 def test_substrings_in_blocks(spark, monkeypatch, block, hot):
     """Many blocks, hot anchors (in ``hot`` blocks or more) and a block of one text each: always as brute force has it."""
     monkeypatch.setattr(substrings, "BLOCK_BYTES", block)
