@@ -1,7 +1,8 @@
 """Code-map queries over the fixture trees, and the rows that they must give.
 
 The supplied tables hold no Python source, so these read the trees of ``fixtures``, whole, whatever folder is passed. The expected
-rows (``expected.json``, checked by hand against the rules that the operators state) become SQL as VALUES.
+rows (``expected.json``) were made by the engine and then reviewed by hand, most closely ranking, calls, declared entries, runs and
+rejections, so they guard against changes more than they prove the rules; they become SQL as VALUES.
 """
 
 from __future__ import annotations
