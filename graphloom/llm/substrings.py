@@ -3,22 +3,25 @@
 Equal texts are reduced to one first. Every 50-byte string has an anchor, the 24-byte string of least hash within it, so equal
 strings share their anchor at the same place. Anchors that occur in one text only are left out (their hashes are compared by
 hash bucket, in numpy arrays). Each anchor left gives its context: 26 bytes before it and 50 from it on. Contexts meet in
-their anchor's bucket. There the different right contexts are laid out, in no order, as one text of 64-bit symbols (seven bytes
-and their number), and so are the left contexts, read backwards; the grouping construction of ``gsaca`` gives the suffix order
-of each. A 50-byte string that begins j bytes before its anchor is a run of the left order with common prefixes of j bytes and a
-run of the right order with 50 - j: equal pairs of runs are equal strings, byte for byte, and all but the least document's go.
+their anchor's bucket. There the strings that begin 0 to 13 and 14 to 26 bytes before the anchor are matched apart: each half
+has a core, the bytes that all its strings have, and contexts whose core no other id has are left out. The bytes after the
+cores are laid out, in no order, as one text of 64-bit symbols (the core's number, then seven bytes and their number each), and
+so are those before, read backwards; the grouping construction of ``gsaca`` gives the suffix order of each. A 50-byte string that
+begins j bytes before its anchor is a run of the left order with common prefixes up to j bytes and a run of the right order with
+50 - j: equal pairs of runs are equal strings, byte for byte, and all but the least document's go.
 
 Scale: texts are shuffled once (to find the one that stands for its copies) and written as blocks; after that only hash
 arrays, contexts of repeated anchors and cuts move. What a block needs back (which anchors repeat, what to cut) is
 written as a file a block in the shared folder, under another name and renamed, equal on every attempt. Contexts that several
-documents of a block share are cut within the block and sent once. An anchor in ``HOT_BLOCKS`` blocks or more isn't
-gathered: each of its 50-byte strings is sent to a bucket by its own hash. Buckets are of equal expected size and grow in number
-with the blocks, to 65,536.
+documents of a block share are cut within the block and sent once. An anchor with ``HOT_BLOCKS`` times ``HOT_EACH`` places or more
+isn't gathered: each of its 50-byte strings is sent to a bucket by its own hash. Buckets are of equal expected size, one a
+partition, and grow in number with the blocks, to 65,536.
 
 Defined results: null text is empty; rows with a null id keep all and cut nothing; rows that repeat an id don't cut each
 other; of rows with equal texts the least id stands, the others lose all if they have 50 bytes; equal rows (id and text) are
 one and each gets its result; other columns are ignored; an empty table gives an empty one. Memory: a block (``BLOCK_BYTES``, or the longest
-text) of bytes and its numpy arrays by slices, or a bucket's contexts.
+text) of bytes and its anchors, with contexts made and sent ``PORTION`` at a time; or a bucket's contexts, of which the suffix order
+takes ``MOST`` at a time, in whole cores (a larger core is halved again, at last to single strings).
 """
 
 from __future__ import annotations
@@ -29,6 +32,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs
+from numpy.lib.stride_tricks import sliding_window_view
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -41,8 +45,10 @@ LEFT = LENGTH - GRAM
 #: Bytes that one symbol of the suffix order holds, beside their number.
 SYMBOL = 7
 BLOCK_BYTES = 4_000_000
-#: Blocks from which on an anchor counts as hot, and the most buckets.
-HOT_BLOCKS, MOST_BUCKETS = 256, 1 << 16
+#: An anchor with so many blocks times so many places or more counts as hot; the most buckets.
+HOT_BLOCKS, HOT_EACH, MOST_BUCKETS = 256, 512, 1 << 16
+#: Contexts that are made at a time, and that one suffix order takes.
+PORTION, MOST = 1 << 15, 1 << 14
 
 
 def _slide(a: np.ndarray, width: int, best) -> np.ndarray:
@@ -142,31 +148,33 @@ def _all_anchors(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndar
     return place, np.concatenate(h), np.searchsorted(off, place, "right") - 1
 
 
-def _distinct(h: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(sorted distinct hashes, whether in several documents)."""
+def _distinct(h: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(sorted distinct hashes, whether in several documents, number of places)."""
     order = np.argsort(h, kind="stable")
     s, d = h[order], doc[order]
     first = np.flatnonzero(np.append(True, s[1:] != s[:-1])) if len(s) else np.zeros(0, np.int64)
     if not len(first):
-        return s, np.zeros(0, bool)
-    return s[first], np.minimum.reduceat(d, first) != np.maximum.reduceat(d, first)
+        return s, np.zeros(0, bool), first
+    return s[first], np.minimum.reduceat(d, first) != np.maximum.reduceat(d, first), np.diff(np.append(first, len(s)))
 
 
 def repeated(blocked: DataFrame, buckets: int, root: str) -> int:
     """Writes, a file a block, a byte for each of its distinct anchor hashes in order: 0 if it occurs in one text, 1 if in
-    several, 2 if in ``HOT_BLOCKS`` blocks or more.
+    several, 2 if it is hot.
 
-    Hashes are compared by bucket (leading bits) and 32 bits more; a chance match only costs a context.
+    Hashes are compared by bucket (leading bits) and 32 bits more; a chance match only costs a context. Places are counted a
+    block by the next power of two, less one.
     """
     shift = np.uint64(64 - buckets.bit_length() + 1)
-    hot = HOT_BLOCKS
+    hot = HOT_BLOCKS * HOT_EACH
 
     def offer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
                 block, _, off, data = _opened(batch, k)
                 _, h, doc = _all_anchors(data, off)
-                s, several = _distinct(h, doc)
+                s, several, places = _distinct(h, doc)
+                several = np.frexp(places)[1].astype(np.uint8) * np.uint8(2) + several  # the places' bits, and whether in several documents
                 bucket = (s >> shift).astype(np.int64)
                 cuts = np.searchsorted(bucket, np.arange(buckets + 1))
                 short = (s >> (shift - np.uint64(32))).astype(np.uint32)
@@ -176,17 +184,18 @@ def repeated(blocked: DataFrame, buckets: int, root: str) -> int:
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for bucket, rows in _groups(batches):
             parts = [np.frombuffer(x.as_buffer(), np.uint32) for x in rows.column("short")]
-            several = np.concatenate([np.frombuffer(x.as_buffer(), bool) for x in rows.column("several")])
+            several = np.concatenate([np.frombuffer(x.as_buffer(), np.uint8) for x in rows.column("several")])
             short = np.concatenate(parts)
             order = np.argsort(short, kind="stable")
             s = short[order]
             same = s[1:] == s[:-1]
-            many = several.astype(np.uint8)
+            many = several & np.uint8(1)
             many[order[1:][same]] = 1
             many[order[:-1][same]] = 1
             first = np.flatnonzero(np.append(True, ~same)) if len(s) else np.zeros(0, np.int64)
             holders = np.diff(np.append(first, len(s)))
-            many[order[np.repeat(holders >= hot, holders)]] = 2
+            places = np.add.reduceat((1 << (several[order] >> 1).astype(np.int64)) - 1, first) if len(s) else first
+            many[order[np.repeat((holders > 1) & (places >= hot), holders)]] = 2
             cuts = np.concatenate([[0], np.cumsum([len(p) for p in parts])])
             yield pa.RecordBatch.from_arrays([rows.column("block").combine_chunks(), pa.array([bucket] * len(parts), pa.int32()), pa.array([many[i:j].tobytes() for i, j in zip(cuts, cuts[1:])], pa.binary())], names=["block", "bucket", "many"])
 
@@ -198,38 +207,67 @@ def repeated(blocked: DataFrame, buckets: int, root: str) -> int:
             yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64())], names=["block"])
 
     offered = blocked.mapInArrow(offer, "bucket int, block bigint, short binary, several binary")
-    compared = offered.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(compare, "block bigint, bucket int, many binary")
+    compared = offered.repartitionById(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(compare, "block bigint, bucket int, many binary")
     return compared.repartition("block").sortWithinPartitions("block").mapInArrow(keep, "block bigint").count()
 
 
-def _alike(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(first row of each kind, which kind each row is) of equal byte rows, in no useful order. Hashes are checked by the rows."""
+def _row_hash(rows: np.ndarray) -> np.ndarray:
     h = np.zeros(len(rows), np.uint64)
     for k in range(rows.shape[1]):
-        h = h * C._MUL + rows[:, k] + np.uint64(1)
-    _, first, inverse = np.unique(C.mix(h), return_index=True, return_inverse=True)
+        h *= C._MUL
+        h += rows[:, k]
+        h += np.uint64(1)
+    return C.mix(h)
+
+
+def _alike(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first row of each kind, which kind each row is) of equal byte rows, in no useful order. Hashes are checked by the rows."""
+    _, first, inverse = np.unique(_row_hash(rows), return_index=True, return_inverse=True)
     if (rows[first][inverse] == rows).all():
         return first, inverse
     _, first, inverse = np.unique(np.ascontiguousarray(rows).view(f"V{rows.shape[1]}")[:, 0], return_index=True, return_inverse=True)  # two kinds share a hash
     return first, inverse
 
 
-def _windows(place: np.ndarray, h: np.ndarray, left: np.ndarray, right: np.ndarray, at: np.ndarray, whole: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(context, place, hash) of every 50-byte string around the anchors ``at``, by the hash of all its bytes."""
-    low, high = np.maximum(0, LENGTH - right[at]), left[at]  # bytes before the anchor
+def _windows(place: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(which anchor, place) of every 50-byte string around these anchors."""
+    low, high = np.maximum(0, LENGTH - right), left  # bytes before the anchor
     n = np.maximum(high - low + 1, 0)
-    context = np.repeat(at, n)
-    begin = place[context] - np.repeat(high, n) + (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
-    return context, begin, C.mix(whole[begin] ^ np.uint64(0x5BD1E995))
+    context = np.repeat(np.arange(len(place)), n)
+    return context, place[context] - np.repeat(high, n) + (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
 
 
 def contexts(blocked: DataFrame, buckets: int, root: str) -> DataFrame:
-    """(bucket, block, ids, doc, place, left, right, near) as arrays, of the repeated anchors of each block.
+    """(bucket, block, ids, doc, place, left, right, near) as arrays, of the repeated anchors of each block, by portions.
 
-    Of contexts that are equal within a block, that of the least id is sent; the others' cuts are written to ``own-<block>``.
+    Of contexts that are equal within a portion, that of the least id is sent; the others' cuts are written to ``own-<block>``.
     """
     shift = np.uint64(64 - buckets.bit_length() + 1)
     kinds = {"ids": np.int64, "doc": np.int32, "place": np.int64, "left": np.uint8, "right": np.uint8, "near": np.uint8}
+    portion = PORTION
+
+    def made(block: int, ids: np.ndarray, off: np.ndarray, around: np.ndarray, place: np.ndarray, h: np.ndarray, doc: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, pa.RecordBatch]:
+        """(what is cut within the portion, what is sent)."""
+        order = np.lexsort((place, ids[doc], h))
+        place, h, doc, left, right = (x[order] for x in (place, h, doc, left, right))
+        near = around[place]
+        at = np.arange(-LEFT, LENGTH)[None, :]
+        near[(at < -left[:, None]) | (at >= right[:, None])] = 0
+        first, inverse = _alike(np.concatenate([near, left[:, None].astype(np.uint8), right[:, None].astype(np.uint8)], 1))
+        least = np.full(len(first), len(place))
+        np.minimum.at(least, inverse, np.arange(len(place)))
+        held = least[inverse]  # the first of equal contexts, which has the least id; equal ids are sent too
+        again = np.flatnonzero((ids[doc] > ids[doc[held]]) & (left + right >= LENGTH))
+        spans = np.stack([doc[again].astype(np.int64), place[again] - off[doc[again]] - left[again], place[again] - off[doc[again]] + right[again]], 1)
+        sent = np.flatnonzero((ids[doc] == ids[doc[held]]) & (left + right >= LENGTH))
+        place, h, doc, left, right, near = (x[sent] for x in (place, h, doc, left, right, near))
+        used, edges = np.unique((h >> shift).astype(np.int64), return_index=True)
+        edges = np.append(edges, len(h))
+        columns: dict = {c: [] for c in kinds}
+        for i, j in zip(edges, edges[1:]):
+            for c, v in (("ids", ids[doc[i:j]]), ("doc", doc[i:j]), ("place", place[i:j] - off[doc[i:j]]), ("left", left[i:j]), ("right", right[i:j]), ("near", near[i:j])):
+                columns[c].append(np.ascontiguousarray(v, kinds[c]).tobytes())
+        return spans, pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([block] * len(used), pa.int64()), *(pa.array(columns[c], pa.binary()) for c in kinds)], names=["bucket", "block", *kinds])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -239,97 +277,125 @@ def contexts(blocked: DataFrame, buckets: int, root: str) -> DataFrame:
                 if flags is None:
                     continue
                 place, h, doc = _all_anchors(data, off)
-                s, _ = _distinct(h, doc)
-                kind = np.frombuffer(flags, np.uint8)[np.searchsorted(s, h)]
-                place, h, doc, kind = (x[kind > 0] for x in (place, h, doc, kind))
+                kind = np.frombuffer(flags, np.uint8)[np.searchsorted(_distinct(h, doc)[0], h)]
+                order = np.argsort(h, kind="stable")  # equal anchors meet in a portion
+                order = order[kind[order] > 0]
+                place, h, doc, kind = (x[order] for x in (place, h, doc, kind))
                 left = np.minimum(place - off[doc], LEFT)
                 right = np.minimum(off[doc + 1] - place, LENGTH)
-                if (kind == 2).any():
-                    context, begin, own = _windows(place, h, left, right, np.flatnonzero(kind == 2), C.rolling(data, LENGTH))
-                    n, plain = len(context), kind == 1
-                    place, h, doc = (np.concatenate([x[plain], y]) for x, y in ((place, begin), (h, own), (doc, doc[context])))
-                    left = np.concatenate([left[plain], np.zeros(n, left.dtype)])
-                    right = np.concatenate([right[plain], np.full(n, LENGTH, right.dtype)])
-                order = np.lexsort((place, ids[doc], h))
-                place, h, doc, left, right = (x[order] for x in (place, h, doc, left, right))
-                padded = np.concatenate([np.zeros(LEFT, np.uint8), data, np.zeros(LENGTH, np.uint8)])
-                near = padded[place[:, None] + np.arange(LEFT + LENGTH)[None, :]]
-                at = np.arange(-LEFT, LENGTH)[None, :]
-                near[(at < -left[:, None]) | (at >= right[:, None])] = 0
-                first, inverse = _alike(np.concatenate([near, left[:, None].astype(np.uint8), right[:, None].astype(np.uint8)], 1))
-                least = np.full(len(first), len(place))
-                np.minimum.at(least, inverse, np.arange(len(place)))
-                held = least[inverse]  # the first of equal contexts, which has the least id; equal ids are sent too
-                again = np.flatnonzero((ids[doc] > ids[doc[held]]) & (left + right >= LENGTH))
-                spans = np.stack([doc[again].astype(np.int64), place[again] - off[doc[again]] - left[again], place[again] - off[doc[again]] + right[again]], 1)
-                _store(root, f"own-{block}", spans.tobytes())
-                sent = np.flatnonzero((ids[doc] == ids[doc[held]]) & (left + right >= LENGTH))
-                place, h, doc, left, right, near = (x[sent] for x in (place, h, doc, left, right, near))
-                bucket = (h >> shift).astype(np.int64)
-                used, cuts = np.unique(bucket, return_index=True)
-                cuts = np.append(cuts, len(bucket))
-                columns: dict = {c: [] for c in kinds}
-                for i, j in zip(cuts, cuts[1:]):
-                    for c, v in (("ids", ids[doc[i:j]]), ("doc", doc[i:j]), ("place", place[i:j] - off[doc[i:j]]), ("left", left[i:j]), ("right", right[i:j]), ("near", near[i:j])):
-                        columns[c].append(np.ascontiguousarray(v, kinds[c]).tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([block] * len(used), pa.int64()), *(pa.array(columns[c], pa.binary()) for c in kinds)], names=["bucket", "block", *kinds])
+                around = sliding_window_view(np.concatenate([np.zeros(LEFT, np.uint8), data, np.zeros(LENGTH, np.uint8)]), LEFT + LENGTH)
+                spans = []
+                plain, hot = np.flatnonzero(kind == 1), np.flatnonzero(kind == 2)
+                for i in range(0, len(plain), portion):
+                    at = plain[i : i + portion]
+                    own, rows = made(block, ids, off, around, place[at], h[at], doc[at], left[at], right[at])
+                    spans.append(own.tobytes())
+                    yield rows
+                few = max(1, portion // (LEFT + 1))
+                for i in range(0, len(hot), few):
+                    at = hot[i : i + few]
+                    context, begin = _windows(place[at], left[at], right[at])
+                    own, rows = made(block, ids, off, around, begin, _row_hash(around[begin][:, LEFT:]), doc[at][context], np.zeros(len(begin), np.int64), np.full(len(begin), LENGTH))
+                    spans.append(own.tobytes())
+                    yield rows
+                _store(root, f"own-{block}", b"".join(spans))
 
     return blocked.mapInArrow(run, "bucket int, block bigint, " + ", ".join(f"{c} binary" for c in kinds))
 
 
-def ordered(rows: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def ordered(rows: np.ndarray, sizes: np.ndarray, core: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(rank of each row, bytes that each place of the order shares with the place before, 0 first) of byte rows of these sizes.
 
-    The different rows, as they come, are one text of symbols; their order is that of the suffixes which begin with a row.
+    Rows of different cores share -1. The different rows, as they come, are one text of symbols, a row's core first; their order
+    is that of the suffixes which begin with a row.
     """
     n, width = rows.shape
     words = -(-width // SYMBOL)
     padded = np.zeros((n, words * SYMBOL), np.uint8)
     padded[:, :width] = rows
     padded[np.arange(words * SYMBOL)[None, :] >= sizes[:, None]] = 0
-    first, inverse = _alike(np.concatenate([padded, sizes[:, None].astype(np.uint8)], 1))
-    kinds, length = padded[first], sizes[first]
-    symbols = np.zeros((len(first), words, 8), np.uint8)
-    symbols[:, :, :SYMBOL] = kinds.reshape(len(first), words, SYMBOL)
-    symbols[:, :, SYMBOL] = np.clip(length[:, None] - np.arange(words)[None, :] * SYMBOL, 0, SYMBOL)
+    first, inverse = _alike(np.concatenate([padded, sizes[:, None].astype(np.uint8), core.astype(np.uint32)[:, None].view(np.uint8)], 1))
+    kinds, length, core = padded[first], sizes[first], core[first]
+    symbols = np.zeros((len(first), words + 1, 8), np.uint8)
+    symbols[:, 0] = core.astype(">u8")[:, None].view(np.uint8)
+    symbols[:, 1:, :SYMBOL] = kinds.reshape(len(first), words, SYMBOL)
+    symbols[:, 1:, SYMBOL] = np.clip(length[:, None] - np.arange(words)[None, :] * SYMBOL, 0, SYMBOL)
     order = suffix_array(symbols.reshape(len(first), -1).view(">u8").astype(np.uint64).ravel())
-    order = order[order % words == 0] // words
+    order = order[order % (words + 1) == 0] // (words + 1)
     a, b = kinds[order[:-1]], kinds[order[1:]]
-    differ = a != b
-    common = np.where(differ.any(1), differ.argmax(1), width) if len(a) else np.zeros(0, np.int64)
-    common = np.minimum(common, np.minimum(length[order[:-1]], length[order[1:]]))
+    differ = np.append(a != b, np.ones((len(a), 1), bool), 1)
+    common = np.minimum(differ.argmax(1), np.minimum(length[order[:-1]], length[order[1:]]))
+    common[core[order[:-1]] != core[order[1:]]] = -1
     rank = np.empty(len(order), np.int64)
     rank[order] = np.arange(len(order))
     return rank[inverse], np.concatenate([[0], common]).astype(np.int64)
 
 
+def _parts(ids: np.ndarray, left: np.ndarray, right: np.ndarray, near: np.ndarray, at: np.ndarray, low: int, high: int) -> Iterator[tuple[np.ndarray, int, int]]:
+    """(contexts, low, high): those of ``at`` whose core several ids have, in whole cores, ``MOST`` at a time.
+
+    The core is what all 50-byte strings have that begin low to high bytes before the anchor. One with more contexts is halved.
+    """
+    at = at[(left[at] >= low) & (right[at] >= LENGTH - high)]
+    if len(at) < 2:
+        return
+    h = _row_hash(near[at, LEFT - low : LEFT + LENGTH - high])
+    by = np.argsort(h, kind="stable")
+    at, h = at[by], h[by]
+    first = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+    size = np.diff(np.append(first, len(h)))
+    several = np.minimum.reduceat(ids[at], first) < np.maximum.reduceat(ids[at], first)
+    large = several & (size > MOST) & (low < high)
+    if large.any():
+        halves, middle = at[np.repeat(large, size)], (low + high) // 2
+        yield from _parts(ids, left, right, near, halves, low, middle)
+        yield from _parts(ids, left, right, near, halves, middle + 1, high)
+    held = several & ~large
+    at, size = at[np.repeat(held, size)], size[held]
+    ends = np.cumsum(size)
+    i = begin = 0
+    while i < len(size):
+        i = max(i + 1, int(np.searchsorted(ends, begin + MOST, "right")))
+        yield at[begin : ends[i - 1]], low, high
+        begin = int(ends[i - 1])
+
+
 def matches(ids: np.ndarray, left: np.ndarray, right: np.ndarray, near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(greatest, least) number of bytes before the anchor at which a 50-byte string repeats one of a smaller id; -1: none.
 
     Between the two, every such string repeats one as well or is covered by those that do.
     """
-    n = len(ids)
-    far, close = np.full(n, -1), np.full(n, -1)
-    after, after_common = ordered(near[:, LEFT:], right)
-    before, before_common = ordered(near[:, :LEFT][:, ::-1], left)
-    for j in range(LEFT + 1):
+    n, middle = len(ids), LEFT // 2
+    far, close = np.full(n, -1), np.full(n, LENGTH)
+    for part in ((0, middle), (middle + 1, LEFT)):
+        for at, low, high in _parts(ids, left, right, near, np.arange(n), *part):
+            _matched(ids, left, right, near, at, low, high, far, close)
+    return far, np.where(far < 0, -1, close)
+
+
+def _matched(ids: np.ndarray, left: np.ndarray, right: np.ndarray, near: np.ndarray, at: np.ndarray, low: int, high: int, far: np.ndarray, close: np.ndarray) -> None:
+    """Widens ``far`` and ``close`` by the strings of the contexts ``at`` that begin low to high bytes before the anchor."""
+    ids, left, right, near = (x[at] for x in (ids, left, right, near))
+    _, core = _alike(near[:, LEFT - low : LEFT + LENGTH - high])
+    after, after_common = ordered(near[:, LEFT + LENGTH - high : LEFT + LENGTH - low], np.minimum(right - LENGTH + high, high - low), core)
+    before, before_common = ordered(near[:, LEFT - high : LEFT - low][:, ::-1], np.minimum(left, high) - low, core)
+    for j in range(low, high + 1):
         ok = np.flatnonzero((left >= j) & (right >= LENGTH - j))
         if not len(ok):
             continue
-        run = np.cumsum(after_common < LENGTH - j)[after[ok]]
+        run = np.cumsum(after_common < high - j)[after[ok]]
         several = np.bincount(run)[run] > 1
         ok, run = ok[several], run[several]
         if not len(ok):
             continue
-        lead = np.cumsum(before_common < j)[before[ok]]
+        lead = np.cumsum(before_common < j - low)[before[ok]]
         key = run * (lead.max() + 1) + lead
         by = np.argsort(key, kind="stable")
         first = np.flatnonzero(np.append(True, key[by][1:] != key[by][:-1]))
         least = np.repeat(np.minimum.reduceat(ids[ok][by], first), np.diff(np.append(first, len(by))))
-        hit = ok[by[least < ids[ok][by]]]
-        far[hit] = j
-        close[hit] = np.where(close[hit] < 0, j, close[hit])
-    return far, close
+        hit = at[ok[by[least < ids[ok][by]]]]
+        far[hit] = np.maximum(far[hit], j)
+        close[hit] = np.minimum(close[hit], j)
 
 
 def cuts(found: DataFrame, buckets: int, root: str) -> int:
@@ -354,7 +420,7 @@ def cuts(found: DataFrame, buckets: int, root: str) -> int:
             _store(root, f"cut-{block}", spans[np.lexsort((spans[:, 2], spans[:, 1], spans[:, 0]))].tobytes())
             yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64())], names=["block"])
 
-    gathered = found.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(match, "block bigint, spans binary")
+    gathered = found.repartitionById(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(match, "block bigint, spans binary")
     return gathered.repartition("block").sortWithinPartitions("block").mapInArrow(keep, "block bigint").count()
 
 
@@ -373,18 +439,19 @@ def _kept(blocked: DataFrame, root: str, as_text: bool) -> DataFrame:
                 step = np.zeros(len(data) + 1, np.int32)
                 np.add.at(step, off[spans[:, 0]] + spans[:, 1], 1)
                 np.add.at(step, off[spans[:, 0]] + spans[:, 2], -1)
-                gone = np.cumsum(step[:-1]) > 0
+                gone = np.cumsum(step[:-1], dtype=np.int32) > 0
                 begins = gone.copy()
                 begins[1:] &= ~gone[:-1]
                 starts = off[:-1][off[:-1] < off[1:]]
                 begins[starts] = gone[starts]
-                total = np.concatenate([[0], np.cumsum(gone)])
-                runs = np.concatenate([[0], np.cumsum(begins)])
+                total, runs = np.zeros(len(data) + 1, np.int32), np.zeros(len(data) + 1, np.int32)
+                np.cumsum(gone, out=total[1:])
+                np.cumsum(begins, out=runs[1:])
                 texts = [data[a:b] for a, b in zip(off, off[1:])]
                 left = [t[~gone[a:b]].tobytes() if total[b] > total[a] else t.tobytes() for t, a, b in zip(texts, off, off[1:])]
                 keys = [hashlib.md5(t.tobytes()).digest() for t in texts]
                 made = pa.array([x.decode("utf-8", "ignore") for x in left], pa.string()) if as_text else pa.array(left, pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(keys, pa.binary()), made, pa.array(np.diff(off)), pa.array(total[off[1:]] - total[off[:-1]]), pa.array((runs[off[1:]] - runs[off[:-1]]).astype(np.int64))], names=["doc_id", "source_key", "kept", "n_bytes", "n_removed", "n_spans"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(keys, pa.binary()), made, pa.array(np.diff(off)), pa.array((total[off[1:]] - total[off[:-1]]).astype(np.int64)), pa.array((runs[off[1:]] - runs[off[:-1]]).astype(np.int64))], names=["doc_id", "source_key", "kept", "n_bytes", "n_removed", "n_spans"])
 
     return blocked.mapInArrow(run, f"doc_id bigint, source_key binary, kept {'string' if as_text else 'binary'}, n_bytes bigint, n_removed bigint, n_spans bigint")
 

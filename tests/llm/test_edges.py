@@ -2,9 +2,11 @@
 
 import hashlib
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from graphloom.llm import chat, components, gsaca, langid, media, mixing, mph, packing, quality, shards, simhash, substrings, tokens, urls
@@ -172,6 +174,79 @@ def test_substrings_come_through_the_suffix_order(monkeypatch):
     assert (again >= 0).sum() < (far >= 0).sum()
 
 
+@pytest.mark.parametrize("block, most", [(3000, 1 << 14), (1, 1 << 14), (3000, 3)])
+def test_substrings_of_hot_anchors_and_large_cores(spark, monkeypatch, block, most):
+    """Every anchor of several blocks is hot and portions are small; or cores are halved down to single strings."""
+    monkeypatch.setattr(substrings, "BLOCK_BYTES", block)
+    monkeypatch.setattr(substrings, "HOT_BLOCKS", 1 if most > 3 else 256)
+    monkeypatch.setattr(substrings, "HOT_EACH", 1)
+    monkeypatch.setattr(substrings, "PORTION", 300)
+    rows = passages(random.Random(block + most))
+    assert cut(make(spark, rows).repartition(3)) == brute_cut([(i, (t or "").encode()) for i, t, _, _ in rows])
+
+
+def test_substrings_match_cores_of_any_size_alike(monkeypatch):
+    rng = np.random.default_rng(6)
+    near = np.repeat(rng.integers(97, 99, (30, 76), dtype=np.uint8), 20, 0)
+    near[np.arange(600), rng.integers(0, 76, 600)] ^= 1
+    near[:, 26:50] = near[0, 26:50]
+    ids, left, right = rng.integers(0, 200, 600), rng.integers(0, 27, 600), rng.integers(24, 51, 600)
+    near[np.arange(-26, 50)[None, :] < -left[:, None]] = 0
+    near[np.arange(-26, 50)[None, :] >= right[:, None]] = 0
+    whole = [{j: bytes(r[26 - j : 76 - j]) for j in range(50 - b if b < 50 else 0, a + 1)} for r, a, b in zip(near, left, right)]
+    least = {}
+    for i, strings in zip(ids, whole):
+        for j, x in strings.items():
+            least[j, x] = min(i, least.get((j, x), i))
+    hits = [[j for j, x in strings.items() if least[j, x] < i] for i, strings in zip(ids, whole)]
+    assert sum(map(bool, hits)) > 20
+    for most in (1 << 14, 50, 1):
+        monkeypatch.setattr(substrings, "MOST", most)
+        far, close = substrings.matches(ids, left, right, near)
+        assert far.tolist() == [max(h, default=-1) for h in hits] and close.tolist() == [min(h, default=-1) for h in hits]
+
+
+def peak_mb(run):
+    tracemalloc.start()
+    try:
+        run()
+        return tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+
+
+def test_substrings_match_many_contexts_in_little_memory():
+    """Contexts of repeated anchors that differ on both sides, a bucket's at some GB: they don't all become one suffix order."""
+    rng = np.random.default_rng(7)
+    n = 40_000
+    near = rng.integers(97, 123, (n, 76), dtype=np.uint8)
+    near[:, 26:50] = near[np.arange(n) // 4, 26:50]
+    near[1::40] = near[::40]
+    ids, left, right = np.arange(n), np.full(n, 26), np.full(n, 50)
+    assert peak_mb(lambda: substrings.matches(ids, left, right, near)) < 60
+    far, _ = substrings.matches(ids, left, right, near)
+    assert np.flatnonzero(far >= 0).tolist() == list(range(1, n, 40))
+
+
+def test_substrings_send_hot_contexts_in_little_memory(monkeypatch):
+    """A block whose anchors are all hot: the strings around them are made a portion at a time."""
+    rng = np.random.default_rng(8)
+    data, off = rng.integers(97, 123, 300_000, dtype=np.uint8), np.arange(0, 300_001, 1000)
+    _, h, _ = substrings._all_anchors(data, off)
+    batch = pa.RecordBatch.from_arrays([pa.array([0], pa.int64()), *(pa.array([x.tobytes()], pa.binary()) for x in (np.arange(300), off.astype(np.int64), data))], names=["block", "ids", "off", "data"])
+
+    class Blocked:
+        def mapInArrow(self, run, schema):
+            return run
+
+    monkeypatch.setattr(substrings, "_load", lambda root, name: b"\2" * len(np.unique(h)))
+    monkeypatch.setattr(substrings, "_store", lambda root, name, data: None)
+    run = substrings.contexts(Blocked(), 16, "")
+    assert peak_mb(lambda: [None for _ in run(iter([batch]))]) < 100
+    strings = sum(len(x.as_buffer()) // 8 for rows in run(iter([batch])) for x in rows.column(2))
+    assert strings >= 300 * 951
+
+
 def test_simhash(spark, odd, none):
     got = simhash.classes(odd[1]).collect()
     assert len(got) == len(odd[0])
