@@ -427,31 +427,36 @@ def cuts(found: DataFrame, buckets: int, root: str) -> int:
 def _kept(blocked: DataFrame, root: str, as_text: bool) -> DataFrame:
     """(doc_id, source_key, kept, n_bytes, n_removed, n_spans): ``kept`` has the bytes left, ``source_key`` the MD5 of all.
 
-    As text, a character that a cut splits is left out.
+    As text, a character that a cut splits is left out. A block goes out by slices, so that no more than one of them is held twice.
     """
 
+    def made(ids: np.ndarray, off: np.ndarray, data: np.ndarray, doc: np.ndarray, begin: np.ndarray, end: np.ndarray) -> pa.RecordBatch:
+        step = np.zeros(len(data) + 1, np.int32)
+        np.add.at(step, off[doc] + begin, 1)
+        np.add.at(step, off[doc] + end, -1)
+        gone = np.cumsum(step[:-1]) > 0
+        begins = gone.copy()
+        begins[1:] &= ~gone[:-1]
+        starts = off[:-1][off[:-1] < off[1:]]
+        begins[starts] = gone[starts]
+        total = np.concatenate([[0], np.cumsum(gone)])
+        runs = np.concatenate([[0], np.cumsum(begins)])
+        texts = [data[a:b] for a, b in zip(off, off[1:])]
+        left = [t[~gone[a:b]].tobytes() if total[b] > total[a] else t.tobytes() for t, a, b in zip(texts, off, off[1:])]
+        keys = [hashlib.md5(t.tobytes()).digest() for t in texts]
+        kept = pa.array([x.decode("utf-8", "ignore") for x in left], pa.string()) if as_text else pa.array(left, pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(keys, pa.binary()), kept, pa.array(np.diff(off)), pa.array(total[off[1:]] - total[off[:-1]]), pa.array((runs[off[1:]] - runs[off[:-1]]).astype(np.int64))], names=["doc_id", "source_key", "kept", "n_bytes", "n_removed", "n_spans"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
                 block, ids, off, data = _opened(batch, k)
                 raw = (_load(root, f"cut-{block}") or b"") + (_load(root, f"own-{block}") or b"")
                 spans = np.frombuffer(raw, np.int64).reshape(-1, 3)
-                step = np.zeros(len(data) + 1, np.int32)
-                np.add.at(step, off[spans[:, 0]] + spans[:, 1], 1)
-                np.add.at(step, off[spans[:, 0]] + spans[:, 2], -1)
-                gone = np.cumsum(step[:-1], dtype=np.int32) > 0
-                begins = gone.copy()
-                begins[1:] &= ~gone[:-1]
-                starts = off[:-1][off[:-1] < off[1:]]
-                begins[starts] = gone[starts]
-                total, runs = np.zeros(len(data) + 1, np.int32), np.zeros(len(data) + 1, np.int32)
-                np.cumsum(gone, out=total[1:])
-                np.cumsum(begins, out=runs[1:])
-                texts = [data[a:b] for a, b in zip(off, off[1:])]
-                left = [t[~gone[a:b]].tobytes() if total[b] > total[a] else t.tobytes() for t, a, b in zip(texts, off, off[1:])]
-                keys = [hashlib.md5(t.tobytes()).digest() for t in texts]
-                made = pa.array([x.decode("utf-8", "ignore") for x in left], pa.string()) if as_text else pa.array(left, pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(keys, pa.binary()), made, pa.array(np.diff(off)), pa.array((total[off[1:]] - total[off[:-1]]).astype(np.int64)), pa.array((runs[off[1:]] - runs[off[:-1]]).astype(np.int64))], names=["doc_id", "source_key", "kept", "n_bytes", "n_removed", "n_spans"])
+                spans = spans[np.argsort(spans[:, 0], kind="stable")]
+                for i, j in C.slices(off):
+                    cut = spans[np.searchsorted(spans[:, 0], i) : np.searchsorted(spans[:, 0], j)]
+                    yield made(ids[i:j], off[i : j + 1] - off[i], data[off[i] : off[j]], cut[:, 0] - i, cut[:, 1], cut[:, 2])
 
     return blocked.mapInArrow(run, f"doc_id bigint, source_key binary, kept {'string' if as_text else 'binary'}, n_bytes bigint, n_removed bigint, n_spans bigint")
 

@@ -247,6 +247,27 @@ def test_substrings_send_hot_contexts_in_little_memory(monkeypatch):
     assert strings >= 300 * 951
 
 
+def test_substrings_are_cut_out_in_little_memory(monkeypatch):
+    """A block goes out by slices of whole texts, with the cuts of either file in any order."""
+    rng = np.random.default_rng(9)
+    data, off = rng.integers(97, 123, 4_000_000, dtype=np.uint8), np.arange(0, 4_000_001, 4000).astype(np.int64)
+    batch = pa.RecordBatch.from_arrays([pa.array([0], pa.int64()), *(pa.array([x.tobytes()], pa.binary()) for x in (np.arange(1000), off, data))], names=["block", "ids", "off", "data"])
+    spans = {"cut-0": [(999, 100, 200), (0, 0, 60), (0, 50, 70)], "own-0": [(500, 3900, 4000), (0, 90, 140)]}
+
+    class Blocked:
+        def mapInArrow(self, run, schema):
+            return run
+
+    monkeypatch.setattr(substrings, "_load", lambda root, name: np.array(spans[name], np.int64).tobytes())
+    run = substrings._kept(Blocked(), "", True)
+    assert peak_mb(lambda: [None for _ in run(iter([batch]))]) < 60
+    got = pa.Table.from_batches(run(iter([batch]))).to_pylist()
+    assert [r["doc_id"] for r in got] == list(range(1000)) and {r["n_bytes"] for r in got} == {4000}
+    assert {r["doc_id"]: (r["n_removed"], r["n_spans"]) for r in got if r["n_removed"]} == {0: (120, 2), 500: (100, 1), 999: (100, 1)}
+    text = data.tobytes().decode()
+    assert [got[k]["kept"] for k in (0, 1, 999)] == [text[70:90] + text[140:4000], text[4000:8000], text[3_996_000:3_996_100] + text[3_996_200:]]
+
+
 def test_simhash(spark, odd, none):
     got = simhash.classes(odd[1]).collect()
     assert len(got) == len(odd[0])
