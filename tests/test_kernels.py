@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from graphloom.operators import kernels as K
+from graphloom.operators import walks
 
 
 def brute_reach(edges, depth, sources=None):
@@ -40,6 +41,30 @@ def test_reach(spark, graph):
     assert K.bounded_reach(e, spark.createDataFrame([(None,)], "node long"), 6).count() == 0
 
 
+def test_reach_in_blocks_and_by_rounds(spark, graph, monkeypatch):
+    e = spark.createDataFrame([*graph, (None, 3), (4, None)], "src long, dst long")
+    nodes = sorted({n for edge in graph for n in edge})
+    s = spark.createDataFrame([(n,) for n in nodes], "node int")
+    want = brute_reach(graph, 6)
+    monkeypatch.setattr(walks, "_TOGETHER", 5)
+    monkeypatch.setattr(walks, "_PAIRS", 7)
+    for block, held in ((7, 1 << 23), (7, 40), (7, 0), (1000, 1 << 23)):
+        got = [tuple(r) for r in K.bounded_reach(e, s, 6, block, held).select("source", "node", "hops").collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+    names = spark.createDataFrame([(f"n{a}", f"n{b}") for a, b in graph], "src string, dst string")
+    got = {tuple(r) for r in K.bounded_reach(names, s.selectExpr("concat('n', node) AS node"), 2, 7).collect()}
+    assert got == {(f"n{a}", f"n{b}", h) for a, b, h in brute_reach(graph, 2)}
+
+
+def test_reach_writes_edges_not_pairs(spark, monkeypatch):
+    rows, write = [], K.written
+    monkeypatch.setattr(K, "written", lambda df, name: rows.append((d := write(df, name)).count()) or d)
+    n = 3000
+    edges = [(k, k + d) for k in range(n) for d in (1, 50) if k + d < n]
+    found = K.bounded_reach(spark.createDataFrame(edges, "src long, dst long"), spark.range(n).withColumnRenamed("id", "node"), 6)
+    assert found.count() > 20 * n > 2 * sum(rows)
+
+
 def test_least_hops(spark, graph):
     e = spark.createDataFrame(graph, "src long, dst long")
     got = {r["node"]: r["hops"] for r in K.least_hops(e, spark.createDataFrame([(1,), (1000,)], "node long")).collect()}
