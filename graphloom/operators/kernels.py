@@ -202,37 +202,48 @@ def _reach_by_rounds(edges: DataFrame, sources: DataFrame, depth: int) -> DataFr
 
 
 def least_hops(edges: DataFrame, sources: DataFrame) -> DataFrame:
-    """(node, hops): hops from the nearest of ``sources`` (node), for all nodes that they lead to, however far."""
+    """(node, hops): hops from the nearest of ``sources`` (node), for all nodes that they lead to, however far.
+
+    The edges are written, so that no round makes them again; no round's tables pass through the driver.
+    """
+    hops = written(edges.select("src", "dst").filter("src IS NOT NULL AND dst IS NOT NULL"), "edges")
     seen = front = written(sources.select("node", F.lit(0).alias("hops")).filter("node IS NOT NULL").distinct(), "front")
     hop = 0
     while not front.isEmpty():
         hop += 1
-        step = front.join(edges, front["node"] == edges["src"]).select(F.col("dst").alias("node")).distinct()
-        front = written(step.join(seen.select("node"), "node", "left_anti").withColumn("hops", F.lit(hop)), "front")
+        step = front.join(hops.hint("merge"), front["node"] == hops["src"]).select(F.col("dst").alias("node")).distinct()
+        front = written(step.join(seen.select("node").hint("merge"), "node", "left_anti").withColumn("hops", F.lit(hop)), "front")
         seen = seen.unionByName(front)
+    forget(hops)
     return seen
 
 
 def topological_levels(nodes: DataFrame, needs: DataFrame) -> DataFrame:
     """(node, level): nodes whose needs (node, need) are all placed come next, together; where every one left waits for another,
-    the least of them is placed. Needs outside ``nodes`` and of oneself don't count.
+    the least of them is placed. Needs outside ``nodes`` and of oneself don't count, nor do null nodes.
 
-    A round is one anti-join over what is left, written; rounds are as many as there are levels.
+    A round is three anti-joins over what is left, written; rounds are as many as there are levels. They are merge joins: tables
+    of a round that seem small enough to broadcast would pass through the driver, some in each of the rounds.
     """
-    left = written(nodes.select("node").distinct(), "left")
-    waits = needs.filter("node != need").join(left.select(F.col("node").alias("need")), "need", "left_semi").select("node", "need").distinct()
+    left = written(nodes.select("node").filter("node IS NOT NULL").distinct(), "left")
+    waits = needs.filter("node != need").join(left.select(F.col("node").alias("need")).hint("merge"), "need", "left_semi")
+    waits = written(waits.select("node", "need").distinct(), "waits")
     placed, level = [], 0
     while True:
-        blocked = waits.join(left.select(F.col("node").alias("need")), "need", "left_semi").select("node").distinct()
-        ready = left.join(blocked, "node", "left_anti")
-        if ready.isEmpty():
-            ready = left.agg(F.min("node").alias("node")).filter("node IS NOT NULL")
-        ready = written(ready.withColumn("level", F.lit(level)), "level")
-        if ready.isEmpty():
-            break
+        at = F.lit(level).alias("level")
+        ready = written(left.join(waits.select("node").hint("merge"), "node", "left_anti").select("node", at), "level")
+        stuck = ready.isEmpty()
+        if stuck:
+            ready = written(left.agg(F.min("node").alias("node")).filter("node IS NOT NULL").select("node", at), "level")
+            if ready.isEmpty():
+                break
         placed.append(ready)
-        left = written(left.join(ready, "node", "left_anti"), "left")
-        waits = written(waits.join(ready, "node", "left_anti"), "waits")
+        done = ready.select("node").hint("merge")
+        still = waits.join(ready.select(F.col("node").alias("need")).hint("merge"), "need", "left_anti").select("node", "need")
+        before = left, waits
+        waits = written(still.join(done, "node", "left_anti") if stuck else still, "waits")
+        left = written(left.join(done, "node", "left_anti"), "left")
+        forget(*before)
         level += 1
     out = placed[0] if placed else nodes.select("node", F.lit(0).alias("level")).limit(0)
     for p in placed[1:]:

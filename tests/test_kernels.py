@@ -83,6 +83,17 @@ def test_topological_levels(spark):
     assert K.topological_levels(spark.createDataFrame([], "node string"), spark.createDataFrame([], "node string, need string")).count() == 0
 
 
+def test_rounds_broadcast_nothing(spark, monkeypatch):
+    plans, write = [], K.written
+    monkeypatch.setattr(K, "written", lambda df, name: plans.append(df._jdf.queryExecution().executedPlan().toString()) or write(df, name))
+    nodes = spark.range(30).select(F.col("id").alias("node")).union(spark.sql("SELECT CAST(NULL AS BIGINT)"))
+    got = {r["node"]: r["level"] for r in K.topological_levels(nodes, nodes.select("node", F.expr("node div 3").alias("need"))).collect()}
+    assert got == {n: 0 if n == 0 else 1 if n < 3 else 2 if n < 9 else 3 if n < 27 else 4 for n in range(30)}
+    e = spark.range(8).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
+    assert {tuple(r) for r in K.least_hops(e, spark.createDataFrame([(5,)], "node long")).collect()} == {(5, 0), (6, 1), (7, 2), (8, 3)}
+    assert len(plans) > 15 and not any("Broadcast" in p for p in plans)
+
+
 def test_prefixes_and_suffixes_by_any_separator(spark):
     d = spark.createDataFrame([("pkg.a.b",), ("pkg.c",), ("other",), (None,), ("pkg.a.b",)], "name string")
     p = spark.createDataFrame([("pkg.a",), ("pkg",), ("pk",)], "prefix string")
