@@ -1,6 +1,7 @@
 """What the parser takes from one file, and texts that say what it is for."""
 
 import ast
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -98,6 +99,18 @@ def test_texts_as_columns(spark):
         assert (r["s"], r["p"], r["l"]) == (prose.first_sentence(r["t"]), prose.module_purpose(r["t"]), r["t"] and prose.is_licence(r["t"]) if r["t"] != "" else False)
 
 
+def test_long_texts_as_columns(spark):
+    """A text costs what is read for its answer, not its lines times their number."""
+    texts = ["\n\n".join(["Copyright 1."] + [f"Part {k}.\nIt has a line.\n====" for k in range(5000)]), "Title\n=====\n\nSay it\u2028again. Then \x85 stop.\n" + "line\n" * 20000, "\n\n".join(["..."] * 20000 + ["At last."])]
+    d = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string").repartition(1)
+    began = time.time()
+    got = [(r["s"], r["p"]) for r in d.select("k", prose.first_sentence_of(F.col("t")).alias("s"), prose.purpose_of(F.col("t")).alias("p")).orderBy("k").collect()]
+    assert got == [("Copyright 1", "Part 0"), ("Say it\u2028again",) * 2, (None, "At last")]
+    assert time.time() - began < 20
+    raw = spark.createDataFrame([(bytearray(b"A \xff b. C"),)], "b binary").select(prose.purpose_of(F.expr("CAST(b AS string)")).alias("p"))
+    assert raw.first()["p"] == "A \ufffd b"
+
+
 @pytest.mark.parametrize(
     "source, said",
     [("#!/bin/x\n# -*- coding: utf-8 -*-\n# ------\n# Helps a lot.\n# Really.\n\n# no\n", "Helps a lot"), ("# /// script\n# deps\n# ///\n\n# Purpose here\nx", "Purpose here"), ("# Copyright 1\n# Helps", None), ("x = 1\n# no", None), ("\n\n#\n# yes", "yes"), ("", None)],
